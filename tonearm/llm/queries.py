@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, token_rans, url_filter
+from . import chat, exact_dedup, ngram_join, packing, token_rans, url_filter
 from .shared import table
 
 #: Rules of the url query (host, path, verdict).
@@ -27,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0, length=1024)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     said = r"\### Assistant: </turn> ok"
@@ -48,4 +52,4 @@ def op10_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rans.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_packing, op7_chat_formatting, op9_exact_dedup, op10_token_rans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op5_packing, op6_ngram_jaccard, op7_chat_formatting, op9_exact_dedup, op10_token_rans)}
