@@ -48,3 +48,34 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
   sha256(coalesce(text, '')) as text_sha256
 from documents
 """
+
+
+def _mixing_sql() -> str:
+    from .mixing import POWERS, ROUNDS
+
+    steps = ["""d as (
+  select doc_id, coalesce(source, chr(0) || 'null') as source, coalesce(lang, chr(0) || 'null') as lang,
+    case when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), 'Licensed') then 'licence'
+      when contains(coalesce(text, ''), '@') then 'contact' else 'prose' end as topic,
+    ceil(coalesce(strlen(text), 0) / 4.0)::bigint as tokens
+  from documents
+), c0 as materialized (select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens)::double as weight from d group by all)"""]
+    for dim, power in POWERS.items():
+        steps.append(f"""target_{dim} as materialized (
+  select {dim}, pow(t, {power}::double) * (sum(t) over () / sum(pow(t, {power}::double)) over ()) as target
+  from (select {dim}, sum(tokens)::double as t from c0 group by {dim}) where t > 0)""")
+    n = 0
+    for _ in range(ROUNDS):
+        for dim in POWERS:
+            steps.append(f"""c{n + 1} as materialized (
+  select source, lang, topic, tokens, weight * coalesce(target / has, 1.0::double) as weight
+  from (select *, sum(weight) over (partition by {dim}) as has from c{n}) left join target_{dim} using ({dim}))""")
+            n += 1
+    return "with " + ", ".join(steps) + f"""
+select doc_id, source, lang, topic, d.tokens as tokens, round(p, 6) as probability,
+  ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0::double < p as kept
+from d join (select source, lang, topic, case when tokens > 0 then least(1.0::double, weight / tokens) else 1.0::double end as p from c{n}) using (source, lang, topic)
+"""
+
+
+ORACLE["op4_mixing"] = _mixing_sql()

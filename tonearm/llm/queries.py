@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, ngram_join, packing, token_rans, url_filter
+from . import chat, embed_dedup, exact_dedup, langid, mixing, ngram_join, packing, quality, token_rans, url_filter
 from .shared import table
 
 #: Rules of the url query (host, path, verdict).
@@ -52,4 +52,23 @@ def op10_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rans.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_packing, op6_ngram_jaccard, op7_chat_formatting, op9_exact_dedup, op10_token_rans)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_language_id, op3_quality, op4_mixing, op5_packing, op6_ngram_jaccard, op7_chat_formatting, op8_near_vectors, op9_exact_dedup, op10_token_rans)
+}
