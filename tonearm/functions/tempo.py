@@ -14,12 +14,12 @@ STEPS = 28
 def _double_below(b: Column, floor: float) -> Column:
     """Doubled until it is at least ``floor``: the least exact power of two that does."""
     steps = F.filter(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: b * F.pow(F.lit(2.0), k) >= floor)
-    return b * F.pow(F.lit(2.0), F.element_at(steps, 1))
+    return b * F.pow(F.lit(2.0), F.get(steps, F.lit(0)))
 
 
 def _halve_from(b: Column, ceiling: float) -> Column:
     steps = F.filter(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: b / F.pow(F.lit(2.0), k) < ceiling)
-    return b / F.pow(F.lit(2.0), F.element_at(steps, 1))
+    return b / F.pow(F.lit(2.0), F.get(steps, F.lit(0)))
 
 
 def feel_tempo(family: Column, bpm: Column) -> Column:

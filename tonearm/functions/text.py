@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words whose bracket is dropped from a title, and the featuring tail.
 NOISE_WORDS = "mix|edit|remix|rmx|version|dub|instrumental|bootleg|rework|vip|extended|original|radio|beatless|acapella"
@@ -82,13 +83,13 @@ def not_sentinel(c: Column) -> Column:
     return F.when(F.lower(c) != "none", F.nullif(c, F.lit("")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; no built-in function computes it."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_case(s: pd.Series) -> pd.Series:
     """Python's title case, which capitalises after any non-letter."""
     return s.map(lambda x: None if x is None else x.title())

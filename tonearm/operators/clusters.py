@@ -97,7 +97,7 @@ def tempo_segments(members: DataFrame, tolerance: float = 0.08) -> DataFrame:
         for b in group["bpm"]:
             mean = (total + b) / (n + 1)
             # sorted members: the ends are the farthest from the mean
-            if n and (mean - lo > tolerance * mean or b - mean > tolerance * mean):
+            if n and ((mean - lo) / mean > tolerance or (b - mean) / mean > tolerance):
                 sums.append((total, n))
                 leaf, n, total = leaf + 1, 0, 0.0
             if not n:

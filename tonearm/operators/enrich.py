@@ -48,7 +48,7 @@ def resolve(releases: DataFrame, streams: DataFrame, min_confidence: float = MIN
     both = r.join(streams.where("matched = 1").select("rb_id", "artist_genres", "release_date"), "rb_id", "full")
     ok = (F.coalesce(F.col("matched"), F.lit(0)) != 0) & (F.coalesce(F.col("confidence"), F.lit(0.0)) >= min_confidence)
     given = F.coalesce(F.nullif("r_style", F.lit("")), F.nullif("r_genre", F.lit("")))
-    first = F.nullif(F.element_at(F.from_json("artist_genres", "array<string>"), F.lit(1)), F.lit(""))
+    first = F.nullif(F.get(F.from_json("artist_genres", "array<string>"), F.lit(0)), F.lit(""))
     stream_genre = text.title_case(first)
     has_genre = ok & given.isNotNull()
     has_year = ok & (F.coalesce("r_year", F.lit(0)) != 0)
