@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import harmony, rules, tempo, text
 from tonearm.operators import clusters, tags
-from tonearm.sources.views import EVENTS, KEYS, TRACKS_SQL, features, table, tracks
+from tonearm.sources.views import EVENTS, KEYS, TRACKS_SQL, table, tracks
 
 from .registry import query
 from .store_queries import _LATEST, latest_features
