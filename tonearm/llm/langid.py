@@ -17,7 +17,6 @@ rows give no rows; repeated rows give repeated rows.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
