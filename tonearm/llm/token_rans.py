@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .shared import drop, map_columns, new_path, require, save, shuffle_partitions
 from .tokens import ChunkEncoder, batches_of_texts
 
-SCALE_BITS, LANES, CHECKPOINT_ROWS, BLOCK_IDS = 20, 256, 512, 1 << 18
+SCALE_BITS, LANES, CHECKPOINT_ROWS, BLOCK_IDS = 20, 1024, 256, 1 << 18
 LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 _R = np.uint64(SCALE_BITS)
