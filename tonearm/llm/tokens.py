@@ -1,9 +1,10 @@
 """Exact subword ids at word-memo speed.
 
-Whole texts are cut only where the tokenizer itself can never join across the
-cut, each distinct chunk is encoded once by the ``tokenizers`` library and its
-ids are remembered, so the result equals encoding the whole text. Texts whose
-white space does not allow that cut are encoded whole.
+Whole texts are cut only where the tokenizer itself can never join across the cut.
+Each distinct chunk is encoded by the ``tokenizers`` library and its ids are remembered,
+so the result equals encoding the whole text. Chunks that are new are encoded word by
+word or many at once where they are plain (ASCII and Latin-1 letters and marks), else
+one by one; texts whose white space does not allow the cut are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Chunks remembered by one Python worker: two generations of this many entries.
+#: Entries of a memo's generation; a Python worker keeps two generations.
 MEMO_ENTRIES = 250_000
 
-_LEADING = re.compile(r"\n| ?[^ \n]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
+#: White space other than blank and line feed, and runs of two; NUL marks a first chunk and counts as odd.
+_ODD = ["\0", "  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
+# letters and marks of these classes are the same to every Unicode version; apostrophes are left out (contractions)
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~\n]+")
+_WORDS_DROPPED = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_WORDS_LEADING = re.compile(r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,12 +34,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """A bounded map: what is found in the older generation moves to the younger one."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def renew(self) -> None:
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that no generation holds; the others are in ``young`` afterwards."""
+        young, old = self.young, self.old
+        lost = set()
+        for k in keys.difference(young):
+            ids = old.get(k)
+            if ids is None:
+                lost.add(k)
+            else:
+                young[k] = ids
+        return lost
+
+
 class ChunkEncoder:
     """ids of texts as little-endian bytes of ``dtype``.
 
     A byte-level tokenizer attaches one leading blank to a word, so texts with
-    single blanks and line feeds only are cut before each blank and around each
-    line feed. A tokenizer that drops white space is cut at blanks and line feeds.
+    single blanks and line feeds only are cut before each blank. A tokenizer that drops white space is cut at blanks and line feeds.
     """
 
     _cache: dict[str, "ChunkEncoder"] = {}
@@ -46,7 +74,9 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+        added = spec.get("added_tokens", [])
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        self.marked = all("<|" in t["content"] for t in added)
         self.mode = "whole"
         if plain and pre.get("type") == "ByteLevel" and norm is None and not pre.get("add_prefix_space"):
             self.mode = "leading"
@@ -54,9 +84,12 @@ class ChunkEncoder:
             self.mode = "dropped"
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 65536 else "<u4")
-        self.memo_entries = memo_entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.is_end = None
+        if self.mode == "dropped" and suffix:
+            self.is_end = np.zeros(self.vocab_size, bool)
+            self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.chunks = Memo(memo_entries)
 
     @classmethod
     def of(cls, name: str) -> "ChunkEncoder":
@@ -65,30 +98,84 @@ class ChunkEncoder:
             cls._cache[name] = cls(name if os.path.isabs(name) else tokenizer_path(name))
         return cls._cache[name]
 
-    def _chunks(self, text: str) -> list[str]:
+    @staticmethod
+    def _is_odd(text: str) -> bool:
+        return text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD)
+
+    def _cut(self, text: str) -> list[str]:
         if self.mode == "dropped":
             return text.replace("\n", " ").split(" ")
-        if self.mode == "leading" and not _ODD_SPACE.search(text):
-            return _LEADING.findall(text)
-        return [text]
+        if self.mode == "leading" and not self._is_odd(text):
+            # all but the first chunk stand for a blank and themselves
+            first, *rest = text.split(" ")
+            return ["\0" + first, *rest]
+        return ["\0" + text]
+
+    def _text_of(self, chunk: str) -> str:
+        """The text that a chunk stands for."""
+        if self.mode == "dropped":
+            return chunk
+        return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+
+    def _words_of(self, chunk: str) -> list[str] | None:
+        """The tokenizer's words of a plain chunk, else None."""
+        if self.mode == "whole" or not self.marked or "<|" in chunk or not _PLAIN.fullmatch(chunk):
+            return None
+        words = _WORDS_LEADING.findall(chunk) if self.mode == "leading" else _WORDS_DROPPED.findall(chunk.lower())
+        return words if sum(map(len, words)) == len(chunk) else None
+
+    def _encode_plain(self, chunks: list[str], words: list[list[str]]) -> list[bytes]:
+        """Ids of chunks that consist of known words."""
+        if self.is_end is not None:
+            # many chunks as one text; each word ends with its end-of-word token
+            ids = np.array(self.tokenizer.encode(" ".join(chunks), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            last = np.cumsum([len(w) for w in words])
+            if len(ends) == last[-1] and ends[-1] == len(ids):
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                to = (ends[last - 1] * size).tolist()
+                return [raw[a:b] for a, b in zip([0, *to], to)]
+        if self.mode == "leading":
+            # a byte-level model writes blank and line feed as these letters, other ASCII as it is
+            one, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+            return [array(code, [t.id for w in ws for t in one(w.replace(" ", "Ġ").replace("\n", "Ċ"))]).tobytes() if c.isascii() else self._encode_one(c) for c, ws in zip(chunks, words)]
+        return [self._encode_one(c) for c in chunks]
+
+    def _encode_one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        young, texts, words, rest = self.chunks.young, [], [], []
+        plain = []
+        for c in self.chunks.missing(chunks):
+            text = self._text_of(c)
+            ws = self._words_of(text)
+            if ws:
+                plain.append(c)
+                texts.append(text)
+                words.append(ws)
+            else:
+                rest.append(c)
+        for at in range(0, len(plain), 256):
+            to = at + 256
+            young.update(zip(plain[at:to], self._encode_plain(texts[at:to], words[at:to])))
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([self._text_of(c) for c in some], add_special_tokens=False)):
+                young[c] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.memo_entries:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        parts = [self._chunks(t) if t else [] for t in texts]
-        missing = set().union(*parts).difference(young)
-        for chunk in missing & old.keys():
-            young[chunk] = old[chunk]
-        missing -= young.keys()
-        if missing:
-            words = list(missing)
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    young[chunk] = np.array(e.ids, self.dtype).tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.chunks.renew()
+        young = self.chunks.young
+        parts = [self._cut(t) if t else [] for t in texts]
+        found, lost = [], set()
+        for p in parts:
+            got = list(map(young.get, p))
+            if None in got:
+                lost.update(c for c, g in zip(p, got) if g is None)
+            found.append(got)
+        self._learn(lost)
+        return [b"".join([young[c] if g is None else g for c, g in zip(p, got)] if None in got else got) for p, got in zip(parts, found)]
 
 
 def _drops_space(pre: dict) -> bool:
@@ -98,7 +185,7 @@ def _drops_space(pre: dict) -> bool:
     return first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def batches_of_texts(texts, most_chars: int = 4_000_000):
+def batches_of_texts(texts, most_chars: int = 1_000_000):
     """Cut a list of texts (null: empty) into runs of about ``most_chars`` characters."""
     run, size = [], 0
     for t in texts:
