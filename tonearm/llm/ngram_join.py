@@ -8,11 +8,12 @@ a file, points of group counts stand in an R-tree: the overlap of two sets (or o
 nodes' boxes) is at most the sum of the coordinates' minima, which prunes before the
 surviving pairs are verified on the sets themselves.
 
-Equal sets are one class from the start. Each class is first verified against the
-least class of each of its files, which settles most groups of near copies in links
-proportional to their size; only files that still hold several components go through
-the R-trees, in blocks of bounded size, and only pairs across components are verified
-there. So components are exact, and copies are never expanded into pairs.
+Equal sets are one class from the start. In a few rounds each class is verified against
+one head class of each of its files, another head in each round, unless they are in one
+component already; that settles most groups of near copies in links proportional to
+their size. Only files that still hold several components go through the R-trees, in
+blocks of bounded size, and only pairs across components are verified there. So
+components are exact, and copies are never expanded into pairs.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased;
 fewer words than n form one shingle; no words or null text: an empty set, linked with
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .shared import drop, map_columns, require, save, small_enough
 
-#: Coordinates of a point; capacity of an R-tree node; classes of a file per block.
-DIMS, FANOUT, BLOCK = 128, 16, 512
+#: Coordinates of a point; capacity of an R-tree node; classes of a file per block; rounds of heads before the trees.
+DIMS, FANOUT, BLOCK, HEAD_ROUNDS = 128, 16, 512, 5
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -204,6 +205,20 @@ def ngram_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
     return told, classes
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow the overlap of a link: the sum of minima bounds it."""
+    both = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("point").alias("pb")), "b")
+
+    def keep(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for a, b, pa, pb in batches:
+            x, y = (np.frombuffer(b"".join(p), "<u4").reshape(-1, DIMS).astype(np.int64) for p in (pa, pb))
+            ok = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
+            at = np.flatnonzero(ok)
+            yield [[a[i] for i in at], [b[i] for i in at]]
+
+    return map_columns(both.select("a", "b", "pa", "pb"), keep, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link; each side's set comes by a shuffled join whose skew AQE splits."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("ids_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("ids").alias("ids_b")), "b")
@@ -290,29 +305,58 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return map_columns(dealt, search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct()
 
 
+def _open_files(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(digest, node, component) of the files that hold several components."""
+    rows = shared.join(labels, "node")
+    several = rows.groupBy("digest").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("digest")
+    return rows.join(several, "digest", "left_semi").select("digest", "node", "component")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``links`` (a, b) join made one; saved."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select("ca", "cb")
+    joined = connected_components(edges, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return save(labels.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+
+
 def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of word
     n-grams; component_id is the least key reachable by links, the row's own included.
     """
-    members, classes = ngram_classes(docs, key, text, n, percent)
-    filed = classes.select(F.explode("digests").alias("digest"), "node").repartition("digest")
-    heads = filed.groupBy("digest").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
-    shared = save(filed.join(heads, "digest").select("digest", "node", "head"), "shared")
-    sets = _shared_sets(docs, key, text, n, classes, shared.select("node").distinct())
-    # first: each class against the head of each of its files
-    first = save(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = save(_verified(first, sets, percent), "links")
-    joined = save(connected_components(links, "a", "b"), "joined")
-    # then: files whose classes are not one component yet
-    rows = shared.select("digest", "node").join(joined, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component"))
-    open_files = rows.groupBy("digest").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("digest")
-    rest = rows.join(open_files, "digest", "left_semi").join(classes.select("node", "point"), "node")
-    pairs = _tree_pairs(rest.select("digest", "node", "component", "point"), percent).join(first, ["a", "b"], "left_anti")
-    more = save(_verified(pairs, sets, percent), "links")
-    final = save(connected_components(links.unionByName(more), "a", "b"), "joined")
-    drop(sets, shared, first, links, more, joined)
+    told, full = ngram_classes(docs, key, text, n, percent)
+    members = save(told.select("key", "n_shingles", "set_id"), "members")
+    drop(told)
+    filed = full.select(F.explode("digests").alias("digest"), "node").repartition("digest")
+    several = filed.groupBy("digest").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("digest")
+    shared = save(filed.join(several, "digest"), "shared")
+    classes = save(full.drop("digests"), "classes")
+    drop(full)
+    points = classes.select("node", "point")
+    nodes = shared.select("node").distinct()
+    sets = _shared_sets(docs, key, text, n, classes, nodes)
+    labels = save(nodes.select("node", F.col("node").alias("component")), "labels")
+    tested = None
+    for k in range(HEAD_ROUNDS):
+        rows = _open_files(shared, labels)
+        head = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(k), "node")).alias("h")
+        pairs = rows.join(rows.groupBy("digest").agg(head), "digest").where("component <> h.component")
+        pairs = pairs.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = save(_bounded(pairs, points, percent), "pairs")
+        if pairs.isEmpty():
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = _relabelled(labels, _verified(pairs, sets, percent))
+    rest = _open_files(shared, labels).join(points, "node")
+    pairs = _tree_pairs(rest.select("digest", "node", "component", "point"), percent)
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    final = _relabelled(labels, _verified(pairs, sets, percent))
+    drop(sets, shared)
     named = classes.select("node", "set_id", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     component = named.join(least, "component").select("set_id", "least")

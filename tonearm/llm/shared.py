@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most this many rows of fixed, small width may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Spark's setting that removes an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,11 +38,20 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor costs no more than the tasks it ran; nothing before this
-    table is computed again. ``drop`` removes the files.
+    table is computed again. The write's own shuffle files go as soon as it is done,
+    so disk holds one step at a time. ``drop`` removes the table's files.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tonearm_path = path
     return out
