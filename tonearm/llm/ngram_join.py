@@ -36,6 +36,8 @@ from .shared import drop, map_columns, require, save, small_enough
 
 #: Coordinates of a point; capacity of an R-tree node; classes of a file per block; rounds of heads before the trees.
 DIMS, FANOUT, BLOCK, HEAD_ROUNDS = 128, 16, 512, 5
+#: Parts in which pairs are verified.
+SLICES = 4
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -220,15 +222,27 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; each side's set comes by a shuffled join whose skew AQE splits."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("ids_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("ids").alias("ids_b")), "b")
+    """The pairs (a, b) that link, saved.
+
+    Pairs are taken in ``SLICES`` parts by the hash of an end, one written after another, so
+    disk holds one part's sets at a time. Sets that a part does not name stay where they are;
+    the others come by shuffled joins whose skew AQE splits.
+    """
+    pairs = save(pairs, "pairs")
 
     def verify(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for a, b, x, y in batches:
             ok = [linked(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(x, y)]
             yield [[i for i, o in zip(a, ok) if o], [i for i, o in zip(b, ok) if o]]
 
-    return map_columns(both.select("a", "b", "ids_a", "ids_b"), verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    out = None
+    for k in range(SLICES):
+        part = pairs.where(F.pmod(F.xxhash64("b"), F.lit(SLICES)) == k)
+        side = lambda c: sets.join(small_enough(part.select(F.col(c).alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias(c), F.col("ids").alias(f"ids_{c}"))  # noqa: E731, B023
+        both = part.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "ids_b")
+        found = save(map_columns(both, verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "links")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _shared_sets(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
