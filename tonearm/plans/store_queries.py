@@ -189,7 +189,7 @@ def fuzzy_match_ratio(spark, sf_dir):
     first = lambda c: F.substring_index(text.normalise(F.col(c)), " ", 1)
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), first("text").alias("w"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), first("text").alias("w"))
-    return d.join(b, "w").where(F.length("t") < 400).select("doc_id", "item_id", F.round(text.match_confidence(F.col("q"), F.col("t"), F.lit(False), F.col("w")), 2).alias("confidence"))
+    return d.join(b, "w").select("doc_id", "item_id", F.round(text.match_confidence(F.col("q"), F.col("t"), F.lit(False), F.col("w")), 2).alias("confidence"))
 
 
 @query("select d.doc_id, d.source, l.quality, l.toxic from documents d left join labels l using (doc_id)")
