@@ -10,7 +10,9 @@ of a length per language, so its size does not grow with the corpus and it may b
 broadcast. Every text is predicted whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; rows
-with null language are predicted but not learned from; equal scores go to the language
+with null language are predicted but not learned from; a language whose drawn texts
+hold no word is never predicted; an entry that a language lacks scores the same in all
+languages, below any entry that a language has; equal scores go to the language
 with more texts, then to the lesser name; with nothing learned every text is ``und``; no
 rows give no rows; repeated rows give repeated rows.
 """
@@ -32,8 +34,8 @@ from .shared import drop, map_columns, require, save
 #: Bounds of the fit; see the module's text.
 DOCS_PER_LANG, MOST_WORDS, MOST_GRAMS, MOST_LANGS = 3000, 30_000, 20_000, 1000
 LONGEST_GRAM = 4
-#: Occurrences that an unseen entry counts as.
-UNSEEN = 0.5
+#: Occurrences that an unseen entry counts as in the largest language; occurrences added to every total, so that few do not weigh as many.
+UNSEEN, SPARE = 0.5, 1000.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -95,11 +97,12 @@ def _scores(rows: list[tuple], langs: list[str], totals: list[float]) -> tuple[d
     place: dict[str, int] = {}
     for _, entry, _ in rows:
         place.setdefault(entry, len(place))
-    counts = np.full((len(place), len(langs)), UNSEEN)
+    sizes = np.array(totals, np.float64) + SPARE
+    shares = np.full((len(place), len(langs)), UNSEEN / sizes.max())
     at = {lang: i for i, lang in enumerate(langs)}
     for lang, entry, n in rows:
-        counts[place[entry], at[lang]] = n
-    return place, np.log(counts / np.array(totals)) if rows else counts
+        shares[place[entry], at[lang]] = n / sizes[at[lang]]
+    return place, np.log(shares)
 
 
 def _frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -143,7 +146,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counted = map_columns(drawn.select("text", "lang"), count, T.StructType([T.StructField("lang", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("n", T.LongType())]))
     words = save(counted.groupBy("lang", "entry").agg(F.sum("n").alias("n")), "words")
     total = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    totals = [total.get(x, 1) for x in langs]
+    langs = [x for x in langs if x in total]
+    if not langs:
+        drop(words)
+        return Model([], {}, np.zeros((0, 0)), {}, {})
+    totals = [total[x] for x in langs]
     # each list that comes to the driver is bounded by the model's own size
     kept = [(r.lang, r.entry, r.n) for r in _frequent(words.where("n > 1"), ["lang"], most_words).collect()]
     place, scores = _scores(kept, langs, totals)
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         got.setdefault(r.size, []).append((r.lang, r.entry, r.n))
     gram_place, gram_scores = {}, {}
     for n, entries in got.items():
-        gram_place[n], gram_scores[n] = _scores(entries, langs, [gram_total.get((x, n), 1) for x in langs])
+        gram_place[n], gram_scores[n] = _scores(entries, langs, [gram_total.get((x, n), 0) for x in langs])
     drop(words, grams)
     return Model(langs, place, scores, gram_place, gram_scores)
 
