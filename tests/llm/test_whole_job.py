@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tonearm.llm import langid
+from tonearm.llm import langid, mixing
 
 
 def test_language_id_with_a_rare_and_a_wordless_language(spark):
@@ -15,3 +15,16 @@ def test_language_id_with_a_rare_and_a_wordless_language(spark):
     got = {r.doc_id: r.lang_pred for r in langid.predict(rows, model).collect()}
     assert sum(got[k] == lang for k, lang in held.items()) >= 0.97 * len(held)
     assert got[-1] == "rare" and "none" not in got.values() and "none" not in model.langs
+
+
+def test_expected_shares_of_the_mix_meet_the_targets(spark):
+    rows = [(i, "word " * (20 + i % 50) + ("| x" if i % 3 else " | x"), "big" if i % 2 else f"s{i % 5}", "en" if i % 7 else "de") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix_documents(docs).toPandas()
+    out["got"] = out.tokens * out.probability
+    assert out.probability.max() > 0.999
+    for dim, power in mixing.POWERS.items():
+        target = out.groupby(dim).tokens.sum() ** power
+        shares = out.groupby(dim).got.sum() / out.got.sum()
+        assert (shares - target / target.sum()).abs().max() < 1e-3
+    assert {r.doc_id for r in mixing.keep_mixed(docs).collect()} == set(out.doc_id[out.kept])

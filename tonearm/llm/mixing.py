@@ -6,7 +6,9 @@ rounds; a document is then kept with its cell's calibrated probability, by a has
 its key, so the sample is the same in every run.
 
 A marginal's target is its token share raised to ``power`` and normalised: below 1 it
-favours small categories. A cell asked for more than it holds gives all it has.
+favours small categories. The sample is as large as it can be with no cell asked for more
+than it holds, so that the expected shares are the targets. With a given ``fraction`` a
+cell asked for more gives all it has, and the shares miss the targets by that.
 
 Defined results: nulls are a category of their own in each dimension; a null or empty
 text weighs nothing and shares its cell's probability; a cell without tokens keeps all
@@ -68,10 +70,11 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
     return now
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", fraction: float = 1.0, powers: dict[str, float] = POWERS, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", fraction: float | None = None, powers: dict[str, float] = POWERS, seed: int = 0) -> DataFrame:
     """All columns of ``docs`` with a struct ``mix``: dimensions, tokens, probability, kept.
 
-    ``fraction`` is the wanted total against the tokens there are, before cells give out.
+    ``fraction`` is the wanted total against the tokens there are, before cells give out;
+    none given: the largest at which no cell gives out.
     Cells are few against documents; they are broadcast where a count shows it, else
     joined by shuffle, where AQE splits a hot cell.
     """
@@ -80,6 +83,8 @@ def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str
     marked = docs.select("*", *[_label(c).alias(tag + d) for d, c in dims.items()], token_weight(docs[text]).alias(tag + "tokens"))
     cells = marked.groupBy(*[F.col(tag + d).alias(d) for d in dims]).agg(F.sum(tag + "tokens").alias("tokens"))
     raked = rake(cells, {d: powers[d] for d in dims})
+    if fraction is None:
+        fraction = min(1.0, raked.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0] or 1.0)
     wanted = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(fraction) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0))
     chance = small_enough(raked.select(*[F.col(d).alias(tag + d) for d in dims], wanted.alias(tag + "p")))
     out = marked.join(chance, [tag + d for d in dims])
@@ -92,9 +97,9 @@ def document_dims(docs: DataFrame) -> dict[str, Column]:
     return {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(F.coalesce(docs["text"], F.lit("")))}
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, fraction: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) for each document."""
-    return mix(docs, document_dims(docs)).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
+    return mix(docs, document_dims(docs), fraction=fraction).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
 
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
