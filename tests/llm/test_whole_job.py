@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tonearm.llm import langid, mixing
+from tonearm.llm import langid, mixing, quality
 
 
 def test_language_id_with_a_rare_and_a_wordless_language(spark):
@@ -28,3 +28,20 @@ def test_expected_shares_of_the_mix_meet_the_targets(spark):
         shares = out.groupby(dim).got.sum() / out.got.sum()
         assert (shares - target / target.sum()).abs().max() < 1e-3
     assert {r.doc_id for r in mixing.keep_mixed(docs).collect()} == set(out.doc_id[out.kept])
+
+
+def test_quality_looks_at_whole_runs_and_all_words(spark):
+    hasher = quality.Hasher()
+    junk = quality.PIECE * "#$" * 40
+    clean, mixed = hasher(quality.Facts.of("a" * quality.PIECE)), hasher(quality.Facts.of("a" * quality.PIECE + junk))
+    both = hasher(quality.Facts.of(" ".join(["a" * quality.PIECE, *[junk[i : i + quality.PIECE] for i in range(0, len(junk), quality.PIECE)]])))
+    own = hasher.bucket("a" * quality.PIECE)
+    assert clean[own] == 1 and abs(mixed[own] - 1 / 81) < 1e-9
+    assert abs(both[own] - mixed[own]) < 1e-9
+    words = [f"w{i}" for i in range(200)]
+    assert quality.Facts.of(" ".join(words)).distinct == 1
+    assert abs(quality.Facts.of(" ".join(words + ["same"] * 199)).distinct - 201 / 399) < 1e-9
+    prose = "The quick brown fox jumps over the lazy dog as it does every day of the year in this town. "
+    rows = [(i, prose * (1 + i % 4)) for i in range(200)] + [(i, "#$ *% &&& " * 20) for i in range(200, 260)] + [(1000, "quick" * 12 + "#$*%" * 500), (1001, "#$*%" * 15 + "quick" * 500)]
+    got = {r.doc_id: r.quality_score for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] < got[1001]

@@ -31,6 +31,8 @@ from .shared import map_columns, require
 
 #: Texts that the scorer is fitted on (about), hash buckets of its features, score from which a text stays.
 SAMPLE, BUCKETS, KEEP_FROM = 8000, 4096, 0.5
+#: Characters of a run without white space that count as one word of the scorer.
+PIECE = 60
 _NONE, _BAD, _GOOD = 0, 1, 2
 _MARKS = "*%$#&|~^=<>{}[]\\"
 _RUNS = [(re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1+")]
@@ -54,8 +56,7 @@ class Facts:
         words = (text or "").split()
         n = len(words)
         repeats = sum(map(operator.eq, words, words[1:])) / n if n else 0.0
-        cuts = range(0, max(n - 199, 1), 200)
-        distinct = sum(len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in cuts) / len(cuts) if n else 0.0
+        distinct = sum(len(set(words[i : i + 200])) for i in range(0, n, 200)) / n if n else 0.0
         return cls(words, text or "", repeats, distinct)
 
 
@@ -126,23 +127,28 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.
 
 
 class Hasher:
-    """Sparse features of a text: shares of its word shapes, and its repetition in steps."""
+    """Sparse features of a text: shares of its word shapes, and its repetition in steps. Long words count as pieces."""
 
     def __init__(self):
         self.memo: dict[str, int] = {}
 
     def bucket(self, word: str) -> int:
-        shape = word[:60]
+        shape = word
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
         return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS
 
     def __call__(self, facts: Facts) -> dict[int, float]:
-        memo, n = self.memo, len(facts.words)
+        memo, counts = self.memo, Counter(facts.words)
         if len(memo) > 300_000:
             memo.clear()
+        for word in [w for w in counts if len(w) > PIECE]:
+            times = counts.pop(word)
+            for at in range(0, len(word), PIECE):
+                counts[word[at : at + PIECE]] += times
+        n = counts.total()
         out: dict[int, float] = {}
-        for word, times in Counter(facts.words).items():
+        for word, times in counts.items():
             at = memo.get(word)
             if at is None:
                 at = memo[word] = self.bucket(word)
