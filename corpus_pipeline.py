@@ -27,12 +27,19 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 80 % Jaccard on five-word shingles the least id of each group stays.
 
-    A row with a null id stays only if no row with an id is in its group.
+    One row of each group stays: null ids come after all others, equal ids are told apart by
+    their texts, and of rows that repeat both any one stays. Texts without words are in no group.
     """
-    groups = ngram_join.ngram_jaccard_components(docs, n=5, percent=80)
-    lost = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("lost"))
-    lost = small_enough(save(lost, "lost"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost"]), "left_anti")
+    row = F.struct(F.isnull(docs["doc_id"]).alias("none"), docs["doc_id"].alias("id"), F.unhex(F.sha2(docs["text"], 256)).alias("digest"))
+    groups = save(ngram_join.ngram_jaccard_components(docs.select(row.alias("row"), "text"), key="row", n=5, percent=80).where("n_shingles > 0"), "groups")
+    lost = small_enough(save(groups.where("not (row <=> component_id)").select(F.col("row").alias("lost")), "lost"))
+    left = docs.join(lost, row.eqNullSafe(lost["lost"]), "left_anti")
+    again = save(groups.where("row <=> component_id").groupBy("row").count().where("count > 1").select(F.col("row").alias("again")), "again")
+    if again.isEmpty():
+        return left
+    again = small_enough(again)
+    once = left.withColumn("__row", row).join(again, F.col("__row").eqNullSafe(again["again"]), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return left.join(again, row.eqNullSafe(again["again"]), "left_anti").unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

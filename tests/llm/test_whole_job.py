@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tonearm.llm import langid, mixing, quality
 
 
@@ -45,3 +46,20 @@ def test_quality_looks_at_whole_runs_and_all_words(spark):
     rows = [(i, prose * (1 + i % 4)) for i in range(200)] + [(i, "#$ *% &&& " * 20) for i in range(200, 260)] + [(1000, "quick" * 12 + "#$*%" * 500), (1001, "#$*%" * 15 + "quick" * 500)]
     got = {r.doc_id: r.quality_score for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1000] < got[1001]
+
+
+def test_near_copies_go_by_row(spark, sf_dir):
+    text = lambda name, last="": " ".join(f"{name}{i}" for i in range(60)) + last
+    rows = [
+        *[(1, text("a")), (None, text("a", " x")), (None, text("lone")), (None, "other words of no group at all")],
+        *[(None, text("b")), (None, text("b", " x")), (None, text("b", " y"))],
+        *[(5, text("c")), (7, text("c", " x")), (7, text("d"))],
+        *[(8, text("e")), (8, text("e", " x"))],
+        *[(9, text("f")), (9, text("f")), (9, text("f", " x"))],
+        *[(None, text("g")), (None, text("g")), (10, None), (10, None), (11, " ")],
+    ]
+    docs = spark.createDataFrame([(*r, "s", i) for i, r in enumerate(rows)], "doc_id long, text string, source string, n int")
+    out = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0), (r.text or "").split(" ")[0]) for r in out.collect())
+    assert got == sorted([(1, "a0"), (0, "lone0"), (0, "other"), (0, "b0"), (5, "c0"), (7, "d0"), (8, "e0"), (9, "f0"), (0, "g0"), (10, ""), (10, ""), (11, "")])
