@@ -2,6 +2,7 @@
 
 import difflib
 import re
+from urllib.parse import unquote
 
 from tonearm.plans import catalogue
 
@@ -22,3 +23,11 @@ def test_fuzzy_match_scores_long_documents(spark, tmp_path):
     got = {(r.doc_id, r.item_id): r.confidence for r in catalogue.QUERIES["fuzzy_match_ratio"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and {(1, 0), (2, 0), (2, 2), (3, 1)} <= got.keys()
     assert all(abs(got[k] - want[k]) <= 0.00501 for k in want)
+
+
+def test_path_labels_of_escaped_urls(spark, tmp_path):
+    urls = ["http://a.org/x/plain.html", "http://a.org/x/caf%C3%A9%20au%2Blait+1.html", "http://localhost/m/100%25.mp3", "http://a.org/50%/off%zz%4.txt", "http://a.org/d%2Fe/f%2Eg.h", "http://a.org/" + "%41b" * 40]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.base, r.label) for r in catalogue.QUERIES["path_labels"](spark, str(tmp_path)).collect()}
+    name = lambda u: unquote(re.sub("^file://(localhost)?", "", u.replace("http", "file"))).rsplit("/", 1)[-1]
+    assert got == {i: (re.sub(r"\.[^.]*$", "", name(u)), f"{name(u)} - x"[:44].strip(" -")) for i, u in enumerate(urls)}

@@ -68,9 +68,10 @@ def base_name(path: Column) -> Column:
 
 
 def file_path(uri: Column) -> Column:
-    """Path of a ``file://`` URI with escapes read; plus signs stay."""
+    """Path of a ``file://`` URI with escapes read; plus signs and per cent signs that start no escape stay."""
     bare = F.regexp_replace(uri, r"^file://(localhost)?", "")
-    return F.when(F.contains(bare, F.lit("%")), F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)
+    escaped = F.replace(F.regexp_replace(bare, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(F.contains(bare, F.lit("%")), F.try_url_decode(escaped)).otherwise(bare)
 
 
 def year_prefix(c: Column) -> Column:

