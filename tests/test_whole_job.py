@@ -4,7 +4,10 @@ import difflib
 import re
 from urllib.parse import unquote
 
+import numpy as np
+
 from tonearm.plans import catalogue
+from tonearm.sources.views import vectors
 
 
 def test_fuzzy_match_scores_long_documents(spark, tmp_path):
@@ -31,3 +34,18 @@ def test_path_labels_of_escaped_urls(spark, tmp_path):
     got = {r.page_id: (r.base, r.label) for r in catalogue.QUERIES["path_labels"](spark, str(tmp_path)).collect()}
     name = lambda u: unquote(re.sub("^file://(localhost)?", "", u.replace("http", "file"))).rsplit("/", 1)[-1]
     assert got == {i: (re.sub(r"\.[^.]*$", "", name(u)), f"{name(u)} - x"[:44].strip(" -")) for i, u in enumerate(urls)}
+
+
+def test_kmeans_runs_18_clusters_and_up_to_40_rounds(spark, sf_dir):
+    rows = sorted((r.vec_id, r.vec) for r in vectors(spark, sf_dir).select("vec_id", "vec").collect())
+    x = np.array([v for _, v in rows], float)
+    c = x[:18] / np.linalg.norm(x[:18], axis=1, keepdims=True)
+    for _ in range(40):
+        lab, before = (x @ c.T).argmax(axis=1), c.copy()
+        for k in set(lab):
+            m = x[lab == k].mean(axis=0)
+            c[k] = m / np.linalg.norm(m)
+        if np.allclose(c, before, atol=1e-12):
+            break
+    got = {r.vec_id: r.cluster for r in catalogue.QUERIES["kmeans_spherical"](spark, sf_dir).collect()}
+    assert got == {i: k for (i, _), k in zip(rows, (x @ c.T).argmax(axis=1).tolist())}

@@ -193,7 +193,7 @@ def kmeans_lloyd_step(spark, sf_dir):
 
 @query()
 def kmeans_spherical(spark, sf_dir):
-    return clusters.spherical_kmeans(vector_view(spark, sf_dir), _first_centroids(spark, sf_dir), "vec_id", "vec", 8).select("vec_id", "cluster")
+    return clusters.spherical_kmeans(vector_view(spark, sf_dir), _first_centroids(spark, sf_dir, clusters.K), "vec_id", "vec", clusters.ROUNDS).select("vec_id", "cluster")
 
 
 @query()
