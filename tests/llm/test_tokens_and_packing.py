@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.llm import packing, queries, token_rans
 from tonearm.llm.tokens import ChunkEncoder, tokenizer_path
 
-ODD = ["", "a  b\tc \n\n d", "'s <|endoftext|> x<|endoftext|>y", " lead", "trail ", "I'm  we'll don't\r\n a1b2 3.4", "Σίσυφος ΟΔΟΣ e\u0301 é", "\x1c a\x85b\u3000z", "İstanbul ﬁ", "\n", "a\nb\n\nc"]
+ODD = ["", "a  b\tc \n\n d", "'s <|endoftext|> x<|endoftext|>y", " lead", "trail ", "I'm  we'll don't\r\n a1b2 3.4", "Σίσυφος ΟΔΟΣ e\u0301 é", "\x1c a\x85b\u3000z", "İstanbul ﬁ", "\n", "a\nb\n\nc", "x\x1fy z", "a \x01 b", "\x01\x01 \x01", "a b\n c", "a\x00b \x00", "foo bar\n\n\nqux  end", "é" * 1000 + " x"]
 
 
 def whole(name, texts):
@@ -20,8 +20,20 @@ def whole(name, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_equal_whole_texts(name):
-    got = [np.frombuffer(b, ChunkEncoder.of(name).dtype).tolist() for b in ChunkEncoder.of(name).encode(ODD)]
-    assert got == whole(name, ODD)
+    for texts in (ODD, [t for t in ODD if " " not in t], ["some plain words", "and\nmore of them"], [], [None, ""]):
+        ids, ends = ChunkEncoder.of(name).encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == whole(name, [t or "" for t in texts])
+        ids, ends = ChunkEncoder.of(name).encode(texts, 7)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*x, 7] for x in whole(name, [t or "" for t in texts])]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_memo_is_forgotten(name):
+    encoder = ChunkEncoder(tokenizer_path(name), memo_entries=3)
+    for k in range(5):
+        texts = [f"some words {k} of text {k + i}" for i in range(4)]
+        ids, ends = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == whole(name, texts)
 
 
 def check_packing(rows, ids_of, length=1024):
@@ -87,10 +99,35 @@ def test_block_round_trip_and_parallel_runs(n):
     table = token_rans.Frequencies.scaled(seen, counts)
     assert not n or int(table.freq.sum()) == 1 << token_rans.SCALE_BITS
     words, marks = token_rans.encode_block(ids, table)
-    assert (token_rans.decode_block(words, marks, n, table) == ids).all()
-    runs = -(-n // (token_rans.LANES * token_rans.CHECKPOINT_ROWS))
-    parts = [token_rans.decode_block(words, marks, n, table, k, 1) for k in range(runs)]
-    assert not runs or (np.concatenate(parts) == ids).all()
+    step, cuts = token_rans.LANES * token_rans.CHECKPOINT_ROWS, [m[0] for m in marks[1:]] + [len(words) // 4]
+    assert len(marks) == -(-n // step)
+    parts = [token_rans.decode_run(words[4 * m[0] : 4 * end], m[1], min(step, n - k * step), table) for k, (m, end) in enumerate(zip(marks, cuts))]
+    assert not n or (np.concatenate(parts) == ids).all()
+
+
+def test_a_block_holds_several_runs(spark):
+    step = token_rans.LANES * token_rans.CHECKPOINT_ROWS
+    assert token_rans.BLOCK_IDS >= 4 * step
+    docs = spark.createDataFrame([("b", "word and more " * (step // 2)), ("a", "x"), ("c", "y " * 10)], "name string, text string").coalesce(1)
+    path = token_rans.scratch_path(spark)
+    token_rans.write_tokens(docs, path, "word_bpe_49k.json", 1, key="name")
+    runs = token_rans.read_runs(spark, path)
+    assert max(r["count"] for r in runs.groupBy("part", "block").count().collect()) > 1
+    want, at = {}, 0
+    for name, ids in zip("abc", whole("word_bpe_49k.json", ["x", "word and more " * (step // 2), "y " * 10])):
+        want[name] = (at, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+        at += len(ids) + 1
+    for with_ids in (False, True):
+        got = token_rans.read_tokens(spark, path, "name", with_ids).collect()
+        assert {r.name: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 1000])
+def test_checksums_combine(n):
+    a, b = b"some bytes" * 7, bytes(range(256))[:n] * 3
+    assert token_rans.combined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert token_rans.combined_crc32(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
 
 
 def test_rans_files_with_odd_rows(spark):

@@ -21,13 +21,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import map_columns, require, save
-from .tokens import ChunkEncoder, batches_of_texts
+from .shared import map_batches, map_columns, require, save
+from .tokens import ChunkEncoder, runs_of_texts
 
 #: Open windows per partition.
 OPEN_WINDOWS = 16
@@ -54,12 +55,13 @@ class Packer:
             need = n - at
             fit = max((k for k, (used, _) in enumerate(self.open) if used + need <= self.length), key=lambda k: self.open[k][0], default=None)
             if fit is None and len(self.open) < self.most:
-                self.open.append((need, [(key, start + at, ids[at:], total)]))
+                # a copy, so that no open window holds on to the ids of a whole run
+                self.open.append((need, [(key, start + at, ids[at:].copy(), total)]))
                 return
             k = fit if fit is not None else max(range(len(self.open)), key=lambda k: self.open[k][0])
             used, pieces = self.open[k]
             take = min(need, self.length - used)
-            pieces.append((key, start + at, ids[at : at + take], total))
+            pieces.append((key, start + at, ids[at : at + take].copy(), total))
             at += take
             if used + take == self.length:
                 self.open.pop(k)
@@ -110,23 +112,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, key:
     schema = _schema(docs.schema[key].dataType)
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
-    def first(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         encoder, packer, out = ChunkEncoder.of(tokenizer), Packer(length, open_windows), _Rows(0, keep_ids)
-        end = np.array([end_id], "<u4")
-        for keys, texts in batches:
-            at = 0
-            for run in batches_of_texts(texts):
-                for raw in encoder.encode(run):
-                    ids = np.concatenate([np.frombuffer(raw, encoder.dtype).astype("<u4"), end])
-                    for window in packer.add(keys[at], 0, ids, len(ids)):
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for at, run in runs_of_texts(b.column(1)):
+                ids, ends = encoder.encode(run, end_id)
+                ids, begin = ids.astype("<u4"), 0
+                for key, end in zip(keys[at : at + len(run)], ends.tolist()):
+                    for window in packer.add(key, 0, ids[begin:end], end - begin):
                         out.window(window, True)
-                    at += 1
+                    begin = end
                 yield out.take()
         for window in packer.close():
             out.window(window, False)
         yield out.take()
 
-    done = save(map_columns(rows, first, schema), "packed")
+    done = save(map_batches(rows, first, schema), "packed")
     result, left, step = done.where("part is null"), done.where("part is not null"), 1
     top = left.agg(F.max("part")).first()[0]
     parts = 0 if top is None else top + 1

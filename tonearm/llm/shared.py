@@ -17,7 +17,8 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and runs in one process (local tests) a temporary
+    folder is set; on a cluster every executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -25,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if got.isDefined():
             found = got.get()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tonearm-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,14 +60,18 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove tables written by ``save`` that no later result reads."""
     for df in frames:
         path = getattr(df, "_tonearm_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -92,11 +99,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_columns(df: DataFrame, fn, schema) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """Arrow-batched ``fn`` over whole partitions.
 
-    ``fn`` takes an iterator of batches, each a list of Python lists (one per column;
-    64-bit keys and nulls stay exact), and yields lists of columns of ``schema``.
+    ``fn`` takes an iterator of record batches and yields lists of columns of ``schema``.
+    Spark bounds a batch by rows and by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -104,7 +111,29 @@ def map_columns(df: DataFrame, fn, schema) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for columns in fn([c.to_pylist() for c in b.columns] for b in batches):
+        for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give back what the allocators of a Python worker keep; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_columns(df: DataFrame, fn, schema) -> DataFrame:
+    """``map_batches`` for Python values.
+
+    ``fn`` takes an iterator of batches, each a list of Python lists (one per column;
+    64-bit keys and nulls stay exact), and yields lists of columns of ``schema``.
+    """
+    return map_batches(df, lambda batches: fn([c.to_pylist() for c in b.columns] for b in batches), schema)

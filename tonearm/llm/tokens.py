@@ -1,9 +1,11 @@
-"""Exact subword ids at word-memo speed.
-
-Whole texts are cut only where the tokenizer itself can never join across the
-cut, each distinct chunk is encoded once by the ``tokenizers`` library and its
-ids are remembered, so the result equals encoding the whole text. Texts whose
-white space does not allow that cut are encoded whole.
+"""Exact subword ids at chunk-memo speed, on Arrow arrays.
+
+Whole texts are cut only where the tokenizer itself can never join across the cut.
+Cutting and finding the distinct chunks of a run of texts are Arrow kernels; each
+distinct chunk is encoded by the ``tokenizers`` library, many in one call with a
+separator between them, and its ids are remembered; the ids of the texts are gathered
+by numpy. So the result equals encoding the whole texts. Texts for which no cut is
+known are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,14 +13,28 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks remembered by one Python worker: two generations of this many entries.
+#: Chunks remembered by one Python worker.
 MEMO_ENTRIES = 250_000
-
-_LEADING = re.compile(r"\n| ?[^ \n]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
+#: Chunks encoded in one call.
+JOINED = 256
+#: Bytes of text encoded in one run.
+RUN_BYTES = 2_000_000
+
+#: Between chunks while texts are cut; itself white space to Python and to the tokenizers.
+_CUT = "\x1f"
+#: Texts (RE2) with other white space than single blanks and line feeds between words.
+_ODD = (
+    r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
+)
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+_ONE_WORD = re.compile(r" ?\S+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,11 +45,11 @@ def tokenizer_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """ids of texts as little-endian bytes of ``dtype``.
+    """ids of texts as arrays of ``dtype``.
 
-    A byte-level tokenizer attaches one leading blank to a word, so texts with
-    single blanks and line feeds only are cut before each blank and around each
-    line feed. A tokenizer that drops white space is cut at blanks and line feeds.
+    A byte-level tokenizer attaches one leading blank to a word, so texts are cut
+    before each single blank between words, and around a line feed between words. A
+    tokenizer that drops white space is cut at blanks and line feeds.
     """
 
     _cache: dict[str, "ChunkEncoder"] = {}
@@ -55,8 +71,12 @@ class ChunkEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 65536 else "<u4")
         self.memo_entries = memo_entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # a separator with one id of its own, which no joined chunk can give
+        self.separator, self.separator_char = {"leading": ("\n", "\n"), "dropped": (" \x01 ", "\x01")}.get(self.mode, ("", ""))
+        alone = self._ids([self.separator])[0] if self.separator else []
+        a, b, both = self._ids(["a", " b", f"a{self.separator} b"])
+        self.separator_id = int(alone[0]) if len(alone) == 1 and both.tolist() == [*a, *alone, *b] else None
+        self._forget()
 
     @classmethod
     def of(cls, name: str) -> "ChunkEncoder":
@@ -65,30 +85,90 @@ class ChunkEncoder:
             cls._cache[name] = cls(name if os.path.isabs(name) else tokenizer_path(name))
         return cls._cache[name]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _forget(self) -> None:
+        """The memo: each chunk's place in ``start`` and ``length``, which point into ``ids``."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.start, self.length, self.used = np.zeros(1 << 16, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, chunks: list[str]) -> None:
+        """Add chunks that are not in the memo; most are encoded by ``JOINED`` in one call."""
+        joined, alone = [], []
+        for c in chunks:
+            fits = self.separator_id is not None and self.separator_char not in c and _ONE_WORD.fullmatch(c)
+            (joined if fits else alone).append(c)
+        done, ids, lengths = [], [], []
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            got = self._ids([self.separator.join(some)])[0]
+            apart = got == self.separator_id
+            ends = np.flatnonzero(apart)
+            if len(ends) == len(some) - 1:
+                done += some
+                ids.append(got[~apart])
+                lengths.append(np.diff(ends, prepend=-1, append=len(got)) - 1)
+            else:
+                alone += some
+        if alone:
+            found = self._ids(alone)
+            done, ids = done + alone, ids + found
+            lengths.append(np.array([len(x) for x in found], np.int64))
+        self._add(done, np.concatenate(ids), np.concatenate(lengths))
+
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, end = len(self.memo), self.used + len(ids)
+        self.memo.update(zip(chunks, range(first, first + len(chunks))))
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(end, len(self.ids)), self.dtype)])
+        self.ids[self.used : end] = ids
+        self.start = np.concatenate([self.start[:first], self.used + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length[:first], lengths])
+        self.used = end
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(chunks, number of them by text)."""
         if self.mode == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if self.mode == "leading" and not _ODD_SPACE.search(text):
-            return _LEADING.findall(text)
-        return [text]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.memo_entries:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        parts = [self._chunks(t) if t else [] for t in texts]
-        missing = set().union(*parts).difference(young)
-        for chunk in missing & old.keys():
-            young[chunk] = old[chunk]
-        missing -= young.keys()
-        if missing:
-            words = list(missing)
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    young[chunk] = np.array(e.ids, self.dtype).tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        elif self.mode == "leading":
+            odd = pc.match_substring_regex(texts, _ODD)
+            if pc.any(odd).as_py():
+                lists = pa.array([self._cut_odd(t) if o else t.replace("\n", _CUT + "\n" + _CUT).replace(" ", _CUT + " ").split(_CUT) for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.large_string()))
+            else:
+                lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", f"{_CUT}\n{_CUT}"), " ", f"{_CUT} "), _CUT)
+        else:
+            return texts, np.ones(len(texts), np.int64)
+        return lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @staticmethod
+    def _cut_odd(text: str) -> list[str]:
+        return [text] if _CUT in text else _BETWEEN_WORDS.sub(_CUT + " ", text).split(_CUT)
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, end of each text in them).
+
+        Nulls count as empty; ``end_id`` is put after each text.
+        """
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        chunks, per_text = self._cut(texts)
+        coded = chunks.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.memo) > self.memo_entries:
+            self._forget()
+        new = [w for w in words if w not in self.memo]
+        if new:
+            self._encode_new(new)
+        place = np.array([self.memo[w] for w in words], np.int64)
+        at = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        start, length = self.start[at], self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(per_text)]
+        ids = self.ids[np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        if end_id is not None:
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+        return ids, ends
 
 
 def _drops_space(pre: dict) -> bool:
@@ -98,15 +178,15 @@ def _drops_space(pre: dict) -> bool:
     return first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def batches_of_texts(texts, most_chars: int = 4_000_000):
-    """Cut a list of texts (null: empty) into runs of about ``most_chars`` characters."""
-    run, size = [], 0
-    for t in texts:
-        t = t or ""
-        run.append(t)
-        size += len(t)
-        if size >= most_chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def runs_of_texts(texts: pa.Array, most_bytes: int = RUN_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of about ``most_bytes`` bytes.
+
+    Runs are copies that begin at their buffers' start: some Arrow kernels misread slices.
+    """
+    if not len(texts):
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield a, pa.concat_arrays([texts.slice(a, b - a), texts.slice(0, 0)])
