@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,16 +78,99 @@ def test_no_rows(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_digest(percent):
+def test_linked_sets_share_a_filing_shingle(percent):
     rng = np.random.default_rng(percent)
-    bands = ngram_join.Bands(percent)
+    levels = rng.integers(0, 3, 1 << ngram_join.SLOT_BITS).astype(np.uint8)
     for _ in range(400):
         size = int(rng.integers(1, 900))
         a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         drop, add = int(rng.integers(0, 1 + len(a) // 9)), int(rng.integers(0, 1 + len(a) // 9))
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
         if ngram_join.linked(a, b, percent):
-            assert np.intersect1d(bands.digests(a), bands.digests(b)).size
+            assert np.intersect1d(ngram_join.prefix(a, levels, percent), ngram_join.prefix(b, levels, percent)).size
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_shingles_equal_those_of_words(n):
+    texts = [None, "", " \t\n", "One", "one", " a b", "a b ", "A  b\x0bc d e f g a b c d e", "Ünë Ü x\x1fy z", "x " * 3000, *near_copies(5, 10, 3, 40)]
+    sets = [s.tolist() for s in ngram_join.shingle_sets(pa.array(texts), n)]
+    brutes = [shingles(t, n) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in brutes]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(set(sets[i]) & set(sets[j])) == len(brutes[i] & brutes[j])
+
+
+def test_runs_of_a_batch_give_the_same_sets_and_ids():
+    from tonearm.llm.tokens import ChunkEncoder, runs_of_texts
+
+    texts = [None, *near_copies(6, 12, 3, 60), "", "x  y\n\nz é", "q " * 500]
+    for batch in (pa.array(texts), pa.array(["left", "out", *texts]).slice(2), pa.array(texts, pa.large_string())):
+        for most in (1, 300, 10**6):
+            runs = list(runs_of_texts(batch, most))
+            assert [a for a, _ in runs] == np.cumsum([0, *[len(r) for _, r in runs]])[:-1].tolist()
+            assert [t for _, r in runs for t in r.to_pylist()] == texts
+            got = [s.tolist() for _, r in runs for s in ngram_join.shingle_sets(r, 3)]
+            assert got == [next(iter(ngram_join.shingle_sets(pa.array([t], pa.string()), 3))).tolist() for t in texts]
+            for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+                encoder = ChunkEncoder.of(name)
+                whole = encoder.encode(texts, 1)[0].tolist()
+                assert np.concatenate([encoder.encode(r, 1)[0] for _, r in runs]).tolist() == whole
+
+
+def test_a_common_passage_files_last(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rnd = random.Random(4)
+    rows = [(i, f"{' '.join(f'w{rnd.randrange(10**6)}' for _ in range(200))} {passage}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    levels = ngram_join.shingle_levels(docs, "text", 5)
+    (common,) = ngram_join.shingle_sets(pa.array([passage]), 5)
+    assert (levels[common >> np.uint64(64 - ngram_join.SLOT_BITS)] > 0).all() and (levels > 0).mean() < 0.01
+    _, classes = ngram_join.ngram_classes(docs, "doc_id", "text", 5, 80)
+    filed = ngram_join._filed(classes.withColumn("component", F.col("node")))
+    assert ngram_join._open_files(filed).where(F.col("file").isin(common.view(np.int64).tolist())).count() == 0
+
+
+def test_every_pair_comes_out_of_a_tree():
+    """One partner a point joins a group; all partners are all linked pairs across components and few others."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[k % 7 :], rng.integers(0, 1 << 63, k % 7).astype(np.uint64)])) for k in range(100)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(100)]
+    points = ngram_join.points_of([ngram_join.point(s) for s in sets])
+    alone = np.arange(len(sets))
+    p, q = ngram_join.asked(points, alone, 90, head=0)
+    assert len(p) <= len(sets) and {*p, *q} >= set(range(100)) and all(0 in (i, j) for i, j in zip(p, q) if max(i, j) < 100)
+    p, q = ngram_join.asked(points, alone, 90)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j], 90)}
+    assert want <= set(zip(p.tolist(), q.tolist())) and len(p) < len(want) + 20
+    one = np.where(alone < 90, 0, alone)
+    p, q = ngram_join.asked(points, one, 90, cut=90)
+    assert {(i, j) for i, j in want if i < 90 <= j} <= set(zip(p.tolist(), q.tolist()))
+
+
+def test_long_sets_have_finer_bounds():
+    rng = np.random.default_rng(9)
+    own = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    base = own(20_000)
+    sets = [base, np.unique(np.concatenate([base[900:], own(900)])), *[own(20_000) for _ in range(30)], base[:3000], own(3000), np.unique(np.concatenate([base[100:3000], own(90)]))]
+    points = ngram_join.points_of([ngram_join.point(s) for s in sets])
+    assert len(points[0]) == 4096 and len(points[-1]) == 512
+    for cut in (None, 1):
+        p, q = ngram_join.asked(points, np.arange(len(sets)), 80, cut=cut)
+        got = set(zip(p.tolist(), q.tolist()))
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j], 80)}
+        assert want and got == {(i, j) for i, j in want if cut is None or i < cut <= j}
+    most = ngram_join.bounds_of_long(points, np.array([0, 0]), np.array([2, 32]), np.array([10**6, 10**6]))
+    assert most[0] >= len(np.intersect1d(sets[0], sets[2])) and most[1] >= len(np.intersect1d(sets[0], sets[32]))
+
+
+def test_very_long_texts_and_a_shingle_of_all_rows(spark):
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(10**7)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-30])), (3, " ".join(words[100_000:]))]
+    rows += [(10 + i, f"the very same start x{i} y{i} z{i}" + " the very same start" * (i % 3)) for i in range(300)]
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
 def test_tree_bound_loses_nothing():
@@ -95,11 +179,13 @@ def test_tree_bound_loses_nothing():
     for _ in range(60):
         base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(20, 400))).astype(np.uint64))
         sets += [base] + [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in (1, 2, 5)]
-    points = np.array([ngram_join.point(s) for s in sets])
+    points = ngram_join.folded(ngram_join.points_of([ngram_join.point(s) for s in sets]), ngram_join.DIMS)
     tree = ngram_join.RTree(points, points.sum(axis=1))
     half = ngram_join.RTree(points[:7], points[:7].sum(axis=1))
     for other, n in ((tree, len(sets)), (half, 7)):
-        got = {(int(i), int(j)) for p, q in tree.join(other, 90) for i, j in zip(p, q)}
+        p, q, most = tree.join(other, 90)
+        got = {(int(i), int(j)) for i, j in zip(p, q)}
+        assert all(m >= len(np.intersect1d(sets[i], sets[j])) for i, j, m in zip(p, q, most))
         want = {(i, j) for i in range(len(sets)) for j in range(n) if ngram_join.linked(sets[i], sets[j], 90)}
         assert want <= got and len(got) < len(sets) * n / 4
 

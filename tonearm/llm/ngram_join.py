@@ -1,19 +1,23 @@
 """Exact Jaccard join on word n-grams with count-vector R-trees.
 
-Shingles are hashed into groups. Two sets with at least ``percent`` per cent Jaccard
-differ in at most D shingles, so with more than D groups one group at least holds the
-same shingles in both. That is the lossless way to the candidates: each set is filed
-under the digest of each of its groups, in the size band of the larger partner. Within
-a file, points of group counts stand in an R-tree: the overlap of two sets (or of two
-nodes' boxes) is at most the sum of the coordinates' minima, which prunes before the
-surviving pairs are verified on the sets themselves.
-
-Equal sets are one class from the start. In a few rounds each class is verified against
-one head class of each of its files, another head in each round, unless they are in one
-component already; that settles most groups of near copies in links proportional to
-their size. Only files that still hold several components go through the R-trees, in
-blocks of bounded size, and only pairs across components are verified there. So
-components are exact, and copies are never expanded into pairs.
+A text's shingles are hashed into ``DIMS`` groups; its group counts are a point. The
+overlap of two sets (or of any two sets in two boxes) is at most the sum of the
+coordinates' minima, which R-trees over the points use to give the candidate pairs. Every
+pair that is verified on the texts themselves comes out of a tree. Long texts have finer
+points, of which a tree's are sums; they bound the pairs of long texts once more.
+
+The trees are dealt over the cluster by files. Shingles are ordered by how common they
+are, then by hash; two linked sets share one at least of the first ``n - ceil(t n) + 1``
+shingles of each in that order, whatever the order is. So each set is filed under those
+shingles, and each file has trees of its own, of at most ``BLOCK`` points. The order comes
+from counts of all shingles of all documents in a table of fixed size; it puts passages
+that many documents share last, so they file (almost) nothing.
+
+Equal sets are one class from the start. The trees are asked three times: in the files of
+the first shingles for one partner of each point, in all files for one partner, and in
+all files for all partners. Pairs within a component that is known by then are left
+out, and so are files within one, so components are exact, groups of near copies settle
+in links proportional to their size, and copies are never expanded into pairs.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased;
 fewer words than n form one shingle; no words or null text: an empty set, linked with
@@ -26,21 +30,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import drop, map_columns, require, save, small_enough
-
-#: Coordinates of a point; capacity of an R-tree node; classes of a file per block; rounds of heads before the trees.
-DIMS, FANOUT, BLOCK, HEAD_ROUNDS = 128, 16, 512, 5
+from .shared import drop, map_batches, map_columns, require, save, small_enough
+from .tokens import runs_of_texts
+
+#: Coordinates of a tree's points; capacity of an R-tree node; points of a tree.
+DIMS, FANOUT, BLOCK = 128, 16, 512
+#: A long text's own point has a coordinate for so many shingles, up to ``FINEST`` coordinates.
+PER_DIM, FINEST = 8, 1 << 14
+#: Shingles of a set whose files are asked first.
+FIRST_FILES = 2
 #: Parts in which pairs are verified.
-SLICES = 4
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+SLICES = 2
+#: Counters of the table that orders shingles, as bits.
+SLOT_BITS = 18
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,87 +62,113 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text. Word hashes are remembered up to a bound."""
-
-    MEMO = 400_000
-
-    def __init__(self, n: int):
-        self.n, self.memo = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.memo) > self.MEMO:
-            self.memo = {}
-        memo = self.memo
-        try:
-            got = [memo[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            got = [memo[w] for w in words]
-        h = np.array(got, np.uint64)
-        n = min(self.n, len(words))
-        out = np.full(len(words) - n + 1, n, np.uint64)
-        for i in range(n):
-            out = _mix(out + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
-
-
-class Bands:
-    """Size bands and their numbers of groups for a similarity in per cent."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, self.low[-1] * 3 // 2))
-        self.groups = []
-        for lo, after in zip(self.low, self.low[1:]):
-            d = (100 - percent) * 2 * (after - 1) // (100 + percent)
-            # spare groups, so that some equal group is not empty: see ``digests``
-            g, spare = d + 1, 0
-            for _ in range(20):
-                m = g * np.exp(-lo / g)
-                spare = int(np.ceil(m + 5 * np.sqrt(m)))
-                g = d + 1 + spare
-            self.groups.append((int(g), int(g) - d - 1))
-
-    def of(self, n: int) -> list[int]:
-        """The band of a set of n shingles, and those above that may hold a larger partner."""
-        k = int(np.searchsorted(self.low, n, side="right")) - 1
-        out = [k]
-        while 100 * n >= self.percent * self.low[out[-1] + 1]:
-            out.append(out[-1] + 1)
-        return out
-
-    def digests(self, ids: np.ndarray) -> np.ndarray:
-        """One 64-bit digest for each group of each band.
-
-        Of g groups at least ``spare + 1`` are equal in two linked sets. A set with
-        at most ``spare`` empty groups leaves its empty ones out; a pair can only
-        need an empty group when both have more, and then both file them.
-        """
-        out = []
-        for k in self.of(len(ids)):
-            g, spare = self.groups[k]
-            at = (ids % np.uint64(g)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            seen, first = np.unique(at[order], return_index=True)
-            sums = np.add.reduceat(_mix(ids ^ np.uint64(0x9E3779B97F4A7C15))[order], first)
-            out.append(_mix(sums ^ _mix(seen.astype(np.uint64) + np.uint64(k << 40))))
-            if g - len(seen) > spare:
-                none = np.setdiff1d(np.arange(g, dtype=np.uint64), seen.astype(np.uint64))
-                out.append(_mix(_mix(none + np.uint64(k << 40))))
-        return np.concatenate(out).view(np.int64)
-
-
-def point(ids: np.ndarray) -> np.ndarray:
-    """Counts of shingles in ``DIMS`` groups."""
-    return np.bincount((ids >> np.uint64(57)).astype(np.int64), minlength=DIMS).astype(np.uint32)
+def raw_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles of all texts in order, end of each text in them)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    at = coded.indices.to_numpy().astype(np.int64)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    # white space at either end of a text gives empty words
+    real = np.array([len(w) > 0 for w in words], bool)[at] if len(at) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(real)])[ends]
+    h = hashes[at[real]] if len(at) else np.zeros(0, np.uint64)
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
+    size = ends - starts
+    full = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for i in range(n):
+        full = _mix(full + h[i : i + len(full)])
+    # what begins a shingle: all words but the last n - 1 of a text, and the first of a shorter text
+    count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+    out = np.zeros(int(count.sum()), np.uint64)
+    to = np.cumsum(count)
+    long = np.flatnonzero(size >= n)
+    take = np.repeat(starts[long] - np.cumsum(count[long]) + count[long], count[long]) + np.arange(count[long].sum())
+    put = np.repeat(to[long] - np.cumsum(count[long]), count[long]) + np.arange(count[long].sum())
+    out[put] = full[take]
+    for w in range(1, n):
+        short = np.flatnonzero(size == w)
+        x = np.full(len(short), w, np.uint64)
+        for i in range(w):
+            x = _mix(x + h[starts[short] + i])
+        out[to[short] - 1] = x
+    return out, to
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    raw, ends = raw_shingles(texts, n)
+    begin = 0
+    for end in ends.tolist():
+        x = np.sort(raw[begin:end])
+        yield x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+        begin = end
+
+
+def prefix(ids: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the common order, one of which any linked set shares."""
+    n = len(ids)
+    most = n - (percent * n + 99) // 100 + 1
+    return ids[np.argsort(levels[ids >> np.uint64(64 - SLOT_BITS)], kind="stable")[:most]]
+
+
+def point(ids: np.ndarray) -> bytes:
+    """Counts of shingles in groups, ``DIMS`` or a power of two more for long texts; first the bytes of a count."""
+    dims = DIMS
+    while dims < FINEST and dims * PER_DIM < len(ids):
+        dims *= 2
+    counts = np.bincount((ids & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+    width = next(w for w in (1, 2, 4) if counts.max() < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def points_of(raws: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r, f"<u{r[0]}", offset=1).astype(np.uint32) for r in raws]
+
+
+def folded(points: list[np.ndarray], dims: int) -> np.ndarray:
+    """The points as rows of ``dims`` coordinates, sums of their finer ones."""
+    return np.array([x.reshape(-1, dims).sum(axis=0, dtype=np.uint32) if len(x) > dims else x for x in points], np.uint32)
+
+
+def bounds_of_long(points: list[np.ndarray], p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``most`` with the bounds of pairs that both have finer points, in the coarser of the two."""
+    dims = np.array([len(x) for x in points], np.int64)
+    common = np.minimum(dims[p], dims[q])
+    most = most.copy()
+    for d in np.unique(common[common > DIMS]).tolist():
+        which = np.flatnonzero(common == d)
+        own = np.unique(np.concatenate([p[which], q[which]]))
+        table = folded([points[i] for i in own], d)
+        step = max(1, (1 << 21) // d)
+        for at in range(0, len(which), step):
+            some = which[at : at + step]
+            most[some] = np.minimum(table[np.searchsorted(own, p[some])], table[np.searchsorted(own, q[some])]).sum(axis=1, dtype=np.int64)
+    return most
+
+
+def shingle_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """How common the shingles of each slot are: 0 up to what chance fills a slot with, then by doublings.
+
+    All shingles of all rows are counted in ``2**SLOT_BITS`` slots of their hash.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            for _, run in runs_of_texts(b.column(0)):
+                raw, _ = raw_shingles(run, n)
+                total += np.bincount((raw >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+        some = np.flatnonzero(total)
+        yield [some, total[some]]
+
+    told = map_batches(docs.select(docs[text].alias("text")), count, T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())]))
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in told.groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        total[r.slot] = r.n
+    usual = np.median(total)
+    return np.ceil(np.log2(np.maximum(1.0, (total - usual) / (6 * np.sqrt(usual) + 6)))).astype(np.uint8)
 
 
 class RTree:
@@ -150,18 +188,17 @@ class RTree:
             cuts = np.arange(0, len(upper), FANOUT)
             self.levels.append((np.maximum.reduceat(upper, cuts), np.minimum.reduceat(small, cuts)))
 
-    def join(self, other: "RTree", percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Indices (into the points as given) of pairs whose bound reaches the least overlap of a link."""
+    def join(self, other: "RTree", percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices (into the points as given) of pairs whose bound reaches the least overlap of a link, and the bounds."""
         depth = max(len(self.levels), len(other.levels))
         a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for level in range(depth - 1, -1, -1):
             (ua, sa), (ub, sb) = (t.levels[min(level, len(t.levels) - 1)] for t in (self, other))
-            keep = np.empty(len(a), bool)
+            most = np.empty(len(a), np.int64)
             for at in range(0, len(a), 4096):
-                i, j = a[at : at + 4096], b[at : at + 4096]
-                most = np.minimum(ua[i], ub[j]).sum(axis=1, dtype=np.int64)
-                keep[at : at + 4096] = (100 + percent) * most >= percent * (sa[i] + sb[j])
-            a, b = a[keep], b[keep]
+                most[at : at + 4096] = np.minimum(ua[a[at : at + 4096]], ub[b[at : at + 4096]]).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * most >= percent * (sa[a] + sb[b])
+            a, b, most = a[keep], b[keep], most[keep]
             if level == 0:
                 break
             for t, which in ((self, 0), (other, 1)):
@@ -173,7 +210,7 @@ class RTree:
                     a, b = (kids, b) if which == 0 else (a, kids)
                     real = kids < n
                     a, b = a[real], b[real]
-        yield self.order[a], other.order[b]
+        return self.order[a], other.order[b], most
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -181,149 +218,228 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def asked(fine: list[np.ndarray], components: np.ndarray, percent: int, head: int | None = None, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs across components that trees over the points ``fine`` give.
+
+    With ``cut``: all pairs of one of the first ``cut`` points and one of the others. Else
+    with ``head``: one partner for each point at most: the point ``head`` if it is one,
+    else the one with the largest share of its bound. Else all pairs.
+    """
+    points = folded(fine, DIMS)
+    size = points.sum(axis=1, dtype=np.int64)
+    if cut is None:
+        tree = RTree(points, size)
+        p, q, most = tree.join(tree, percent)
+        ok = (p < q) & (components[p] != components[q])
+    else:
+        left, right = RTree(points[:cut], size[:cut]), RTree(points[cut:], size[cut:])
+        p, q, most = left.join(right, percent)
+        q = q + cut
+        ok = components[p] != components[q]
+    p, q, most = p[ok], q[ok], most[ok]
+    most = bounds_of_long(fine, p, q, most)
+    ok = (100 + percent) * most >= percent * (size[p] + size[q])
+    p, q, most = p[ok], q[ok], most[ok]
+    if head is None or cut is not None or not len(p):
+        return p, q
+    most = most / (size[p] + size[q])
+    most[(p == head) | (q == head)] = 2.0
+    one, other, most = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([most, most])
+    order = np.lexsort((-most, one))
+    first = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])]
+    best = np.unique(np.stack([np.minimum(one[first], other[first]), np.maximum(one[first], other[first])]), axis=1)
+    return best[0], best[1]
+
+
 def ngram_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members: key, n_shingles, set_id; classes: node, set_id, rep, point, digests), both saved."""
+    """(members: key, n_shingles, set_id; classes: node, set_id, rep, point, prefix), both saved."""
     require(docs, key, text)
+    levels = shingle_levels(docs, text, n)
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("key", kind), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("point", T.BinaryType()), T.StructField("digests", T.ArrayType(T.LongType()))])
-
-    def describe(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        shingle, bands = Shingler(n), Bands(percent)
-        for keys, texts in batches:
-            for at in range(0, len(keys), 500):
-                out = [keys[at : at + 500], [], [], [], []]
-                for t in texts[at : at + 500]:
-                    ids = shingle(t)
-                    out[1].append(len(ids))
-                    out[2].append(xxhash.xxh3_128_digest(ids.tobytes()) if len(ids) else None)
-                    out[3].append(point(ids).astype("<u4").tobytes() if len(ids) else None)
-                    out[4].append(bands.digests(ids) if len(ids) else None)
+    schema = T.StructType([T.StructField("key", kind), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("point", T.BinaryType()), T.StructField("prefix", T.BinaryType())])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
+            for at, run in runs_of_texts(b.column(1)):
+                out: list = [b.column(0).slice(at, len(run)), [], [], [], []]
+                for ids in shingle_sets(run, n):
+                    some = len(ids) > 0
+                    for to, x in zip(out[1:], (len(ids), xxhash.xxh3_128_digest(ids.tobytes()) if some else None, point(ids) if some else None, prefix(ids, levels, percent).astype("<i8").tobytes() if some else None)):
+                        to.append(x)
                 yield out
 
-    told = save(map_columns(docs.select(docs[key].alias("key"), docs[text].alias("text")), describe, schema), "ngrams")
-    # copies collapse in map-side partial aggregation; any copy's digests are those of the class
-    one = told.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.first(F.struct("point", "digests")).alias("s"))
-    classes = save(one.select(F.monotonically_increasing_id().alias("node"), "set_id", "rep", F.col("s.point").alias("point"), F.col("s.digests").alias("digests")), "ngrams")
-    return told, classes
+    told = save(map_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")), describe, schema), "ngrams")
+    # copies collapse in map-side partial aggregation; any copy's point and prefix are those of the class
+    one = told.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.first(F.struct("point", "prefix")).alias("s"))
+    classes = save(one.select(F.monotonically_increasing_id().alias("node"), "set_id", "rep", F.col("s.point").alias("point"), F.col("s.prefix").alias("prefix")), "ngrams")
+    members = save(told.select("key", "n_shingles", "set_id"), "members")
+    drop(told)
+    return members, classes
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points allow the overlap of a link: the sum of minima bounds it."""
-    both = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("point").alias("pb")), "b")
+def _filed(classes: DataFrame, first: int | None = None) -> DataFrame:
+    """(file, node, component) for all filing shingles of each class, or the ``first`` ones."""
 
-    def keep(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for a, b, pa, pb in batches:
-            x, y = (np.frombuffer(b"".join(p), "<u4").reshape(-1, DIMS).astype(np.int64) for p in (pa, pb))
-            ok = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
-            at = np.flatnonzero(ok)
-            yield [[a[i] for i in at], [b[i] for i in at]]
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
+            raws = [np.frombuffer(r, "<i8")[:first] for r in b.column(2).to_pylist()]
+            sizes = [len(r) for r in raws]
+            for at in range(0, len(raws), 2000):
+                some = slice(at, at + 2000)
+                yield [np.concatenate(raws[some]), *[np.repeat(b.column(c).to_numpy()[some], sizes[some]) for c in (0, 1)]]
 
-    return map_columns(both.select("a", "b", "pa", "pb"), keep, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    rows = classes.select("node", "component", "prefix")
+    return map_batches(rows, spread, T.StructType([T.StructField(c, T.LongType()) for c in ("file", "node", "component")]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, saved.
+def _open_files(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (file, node, component) in files that hold several components.
 
-    Pairs are taken in ``SLICES`` parts by the hash of an end, one written after another, so
-    disk holds one part's sets at a time. Sets that a part does not name stay where they are;
-    the others come by shuffled joins whose skew AQE splits.
+    Only minima and maxima are shuffled to find them, after partial aggregation.
     """
-    pairs = save(pairs, "pairs")
+    several = rows.groupBy("file").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("file")
+    return rows.join(several, "file", "left_semi")
 
-    def verify(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for a, b, x, y in batches:
-            ok = [linked(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(x, y)]
-            yield [[i for i, o in zip(a, ok) if o], [i for i, o in zip(b, ok) if o]]
 
-    out = None
-    for k in range(SLICES):
-        part = pairs.where(F.pmod(F.xxhash64("b"), F.lit(SLICES)) == k)
-        side = lambda c: sets.join(small_enough(part.select(F.col(c).alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias(c), F.col("ids").alias(f"ids_{c}"))  # noqa: E731, B023
-        both = part.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "ids_b")
-        found = save(map_columns(both, verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "links")
-        out = found if out is None else out.unionByName(found)
-    return out
+def _distinct_files(rows: DataFrame) -> DataFrame:
+    """``rows`` without files that hold the same classes as another file."""
+    mark = lambda seed: F.expr(f"bit_xor(xxhash64({seed}, node))")
+    same = rows.groupBy("file").agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y"))
+    return rows.join(same.groupBy("n", "x", "y").agg(F.min("file").alias("file")).select("file"), "file", "left_semi")
+
+
+def _in_trees(rows: DataFrame, group: list[str], ask) -> DataFrame:
+    """Pairs (a < b) that ``ask`` gives for the rows of each ``group``.
+
+    ``rows``: the group's columns, side, node, component, point; ``ask`` gets the sides, nodes,
+    components and points of a group and returns pairs of places.
+    """
+    dealt = rows.select(*group, "side", "node", "component", "point").repartition(*group).sortWithinPartitions(*group, "side")
+    width = len(group)
+
+    def pairs_of(members: list[tuple]) -> tuple[list, list]:
+        side, node, component = (np.array([r[width + k] for r in members], np.int64) for k in range(3))
+        if (component == component[0]).all():
+            return [], []
+        p, q = ask(side, node, component, points_of([r[-1] for r in members]))
+        return np.minimum(node[p], node[q]).tolist(), np.maximum(node[p], node[q]).tolist()
+
+    def search(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        members: list[tuple] = []
+        for columns in batches:
+            out: tuple[list, list] = [], []
+            for row in zip(*columns):
+                if members and row[:width] != members[0][:width]:
+                    for to, x in zip(out, pairs_of(members)):
+                        to.extend(x)
+                    members = []
+                members.append(row)
+            yield list(out)
+        if members:
+            yield list(pairs_of(members))
+
+    return map_columns(dealt, search, _PAIR).distinct()
+
 
+def _one_partner(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """For each class of each file one candidate of another component at most.
 
-def _shared_sets(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, ids) of the classes in ``nodes``: only their representatives' texts are shingled again."""
+    A file of more than ``BLOCK`` classes has a tree for each of its blocks, and each of
+    these also holds the file's head, so that blocks meet in it. Rows grow by one a block.
+    """
+    files = rows.groupBy("file").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min_by(F.struct("node", "component"), F.xxhash64("node")).alias("head"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    body = rows.join(files.select("file", "blocks", F.col("head.node").alias("h")), "file")
+    body = body.select("file", block.alias("block"), F.when(F.col("node") == F.col("h"), 0).otherwise(1).alias("side"), "node", "component")
+    heads = files.where("blocks > 1").select("file", "blocks", "head.node", "head.component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heads = heads.where(F.col("block") != block).select("file", "block", F.lit(0).alias("side"), "node", "component")
+    every = body.unionByName(heads).join(points, "node")
+
+    def ask(side, node, component, at):  # noqa: ANN001, ANN202
+        return asked(at, component, percent, head=0)
+
+    return _in_trees(every, ["file", "block"], ask)
+
+
+def _all_partners(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """All candidates across components in each file.
+
+    A file's largest component needs no pairs of its own: the other classes are cut into
+    blocks that meet each other and all blocks of the largest component.
+    """
+    parts = rows.groupBy("file", "component").agg(F.count("*").alias("n"))
+    files = parts.groupBy("file").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    files = files.select("file", "largest", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("own"))
+    rows = rows.join(files, "file").withColumn("in", F.col("component") == F.col("largest"))
+    some = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("at", F.when(F.col("in"), F.col("others") + some(F.col("own"))).otherwise(some(F.col("others"))))
+    last = F.when(F.col("in"), F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1)
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("file", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), F.when(F.col("at") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "component")
+    # the block of the least place stands first; a block alone is joined with itself
+
+    def ask(side, node, component, at):  # noqa: ANN001, ANN202
+        cut = int((side == 0).sum())
+        return asked(at, component, percent, cut=cut if cut < len(side) else None)
+
+    return _in_trees(rows.join(points, "node"), ["file", "i", "j"], ask)
+
+
+def _texts(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of one member of each class in ``nodes``, saved."""
     need = save(classes.join(nodes, "node", "left_semi").select("node", "set_id", "rep"), "need")
     reps = small_enough(need.select("rep").distinct())
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    texts = texts.join(reps, texts["key"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-
-    def shingles(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        shingle = Shingler(n)
-        for (texts,) in batches:
-            for at in range(0, len(texts), 500):
-                sets = [shingle(t).tobytes() for t in texts[at : at + 500]]
-                yield [[xxhash.xxh3_128_digest(s) for s in sets], sets]
-
-    got = map_columns(texts, shingles, T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("ids", T.BinaryType())]))
-    out = save(got.join(need, "set_id").select("node", "ids").dropDuplicates(["node"]), "sets")
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    rows = rows.join(reps, rows["key"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
+            for _, run in runs_of_texts(b.column(0)):
+                yield [[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingle_sets(run, n)], run]
+
+    got = map_batches(rows, name, T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("text", T.StringType())]))
+    out = save(got.join(need.select("node", "set_id"), "set_id").select("node", "text").dropDuplicates(["node"]), "texts")
     drop(need)
     return out
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a < b) across components within each file, by R-tree join of its blocks.
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
-    ``rows``: digest, node, component, point. A file of more than ``BLOCK`` classes is
-    cut into blocks, each pair of which is joined in a task of its own choice.
-    """
-    sizes = rows.groupBy("digest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "digest").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # the row of block k goes to the pairs (i, k) with i <= k and (k, j) with j > k
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("digest", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "point")
-    dealt = rows.repartition("digest", "i", "j").sortWithinPartitions("digest", "i", "j")
-
-    def pairs_of(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = group[0][1], group[0][2]
-        node = np.array([r[4] for r in group], np.int64)
-        comp = np.array([r[5] for r in group], np.int64)
-        block = np.array([r[3] for r in group])
-        points = np.frombuffer(b"".join(r[6] for r in group), "<u4").reshape(-1, DIMS)
-        size = points.sum(axis=1, dtype=np.int64)
-        found = []
-        if i == j:
-            tree = RTree(points, size)
-            sides = (tree, tree, np.arange(len(node)), np.arange(len(node)))
-        else:
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(left) or not len(right):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            sides = (RTree(points[left], size[left]), RTree(points[right], size[right]), left, right)
-        for p, q in sides[0].join(sides[1], percent):
-            p, q = sides[2][p], sides[3][q]
-            ok = (comp[p] != comp[q]) & ((node[p] < node[q]) | (i != j))
-            found.append((p[ok], q[ok]))
-        p, q = (np.concatenate(x) for x in zip(*found))
-        return np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
 
-    def search(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        group: list[tuple] = []
-        for columns in batches:
-            out = [], []
-            for row in zip(*columns):
-                if group and row[:3] != group[0][:3]:
-                    if len(group) > 1:
-                        for to, x in zip(out, pairs_of(group)):
-                            to.extend(x.tolist())
-                    group = []
-                group.append(row)
-            yield list(out)
-        if len(group) > 1:
-            yield [x.tolist() for x in pairs_of(group)]
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, saved.
 
-    return map_columns(dealt, search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct()
+    Texts are smaller than their sets, so texts come to the pairs, by shuffled joins
+    whose skew AQE splits, and are shingled again there. Pairs are taken in ``SLICES``
+    parts, one written after another, so disk holds one part's texts at a time.
+    """
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
+            p, q = b.column(0).to_pylist(), b.column(1).to_pylist()
+            # a partner of many is shingled once a batch
+            first: dict[int, int] = {}
+            for at, node in enumerate(q):
+                first.setdefault(node, at)
+            right = b.column(3).take(pa.array(list(first.values()), pa.int64()))
+            sets = dict(zip(first, (s for _, run in runs_of_texts(right) for s in shingle_sets(run, n))))
+            left = (s for _, run in runs_of_texts(b.column(2)) for s in shingle_sets(run, n))
+            ok = [linked(s, sets[node], percent) for s, node in zip(left, q)]
+            yield [[i for i, o in zip(p, ok) if o], [i for i, o in zip(q, ok) if o]]
 
-def _open_files(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(digest, node, component) of the files that hold several components."""
-    rows = shared.join(labels, "node")
-    several = rows.groupBy("digest").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("digest")
-    return rows.join(several, "digest", "left_semi").select("digest", "node", "component")
+    out = None
+    for k in range(SLICES):
+        here = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES)) == k  # noqa: E731, B023
+        part = pairs.where(here("b"))
+        left = texts.join(part.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.where(here("node")).select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        both = part.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        found = save(map_batches(both, verify, _PAIR), "links")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,41 +456,37 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of word
     n-grams; component_id is the least key reachable by links, the row's own included.
     """
-    told, full = ngram_classes(docs, key, text, n, percent)
-    members = save(told.select("key", "n_shingles", "set_id"), "members")
-    drop(told)
-    filed = full.select(F.explode("digests").alias("digest"), "node").repartition("digest")
-    several = filed.groupBy("digest").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("digest")
-    shared = save(filed.join(several, "digest"), "shared")
-    classes = save(full.drop("digests"), "classes")
-    drop(full)
+    members, classes = ngram_classes(docs, key, text, n, percent)
     points = classes.select("node", "point")
-    nodes = shared.select("node").distinct()
-    sets = _shared_sets(docs, key, text, n, classes, nodes)
-    labels = save(nodes.select("node", F.col("node").alias("component")), "labels")
-    tested = None
-    for k in range(HEAD_ROUNDS):
-        rows = _open_files(shared, labels)
-        head = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(k), "node")).alias("h")
-        pairs = rows.join(rows.groupBy("digest").agg(head), "digest").where("component <> h.component")
-        pairs = pairs.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = save(_bounded(pairs, points, percent), "pairs")
+    labels = save(classes.select("node", F.col("node").alias("component")), "labels")
+    tested: list[DataFrame] = []
+    filed = None
+    for step in range(3):
+        if step < 2:
+            named = classes.select("node", "prefix").join(labels, "node")
+            rows = save(_open_files(_filed(named, FIRST_FILES if step == 0 else None)), "filed")
+        else:
+            rows = save(_open_files(filed.drop("component").join(labels, "node").select("file", "node", "component")), "filed")
+        if filed is not None:
+            drop(filed)
+        filed = rows
+        pairs = (_one_partner if step < 2 else _all_partners)(_distinct_files(filed), points, percent)
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        tested.append(pairs)
         if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = _relabelled(labels, _verified(pairs, sets, percent))
-    rest = _open_files(shared, labels).join(points, "node")
-    pairs = _tree_pairs(rest.select("digest", "node", "component", "point"), percent)
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    final = _relabelled(labels, _verified(pairs, sets, percent))
-    drop(sets, shared)
-    named = classes.select("node", "set_id", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            continue
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = _texts(docs, key, text, n, classes, ends)
+        links = _verified(pairs, texts, n, percent)
+        now = _relabelled(labels, links)
+        drop(texts, links, labels)
+        labels = now
+    drop(filed, *tested)
+    named = classes.select("node", "set_id", "rep").join(labels, "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     component = named.join(least, "component").select("set_id", "least")
-    own = members.select("key", "n_shingles", "set_id")
-    out = own.where("set_id is not null").join(component, "set_id").select("key", "n_shingles", F.col("least").alias("component_id"))
-    out = out.unionByName(own.where("set_id is null").select("key", "n_shingles", F.col("key").alias("component_id")))
+    out = members.where("set_id is not null").join(component, "set_id").select("key", "n_shingles", F.col("least").alias("component_id"))
+    out = out.unionByName(members.where("set_id is null").select("key", "n_shingles", F.col("key").alias("component_id")))
     return out.withColumnRenamed("key", key)
