@@ -39,10 +39,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    index = exact_dedup.DigestIndex(spark)
-    exact_dedup.add_batch(index, docs)
-    rows = exact_dedup.memberships(index, docs)
+    """Two batches: the second meets the index of the first in the anti-join."""
+    rows = exact_dedup.dedup_in_batches(table(spark, sf_dir, "documents"))
     return rows.select(F.col("key").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
