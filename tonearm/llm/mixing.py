@@ -1,29 +1,39 @@
 """Mixing sources to target weights by iterative proportional fitting, in Spark expressions only.
 
 Documents are aggregated to cells (one per combination of source, language and topic).
-The cells' token weights are raked to each marginal in turn for a fixed number of
-rounds; a document is then kept with its cell's calibrated probability, by a hash of
-its key, so the sample is the same in every run.
-
-A marginal's target is its token share raised to ``power`` and normalised: below 1 it
-favours small categories. The sample is as large as it can be with no cell asked for more
-than it holds, so that the expected shares are the targets. With a given ``fraction`` a
-cell asked for more gives all it has, and the shares miss the targets by that.
-
-Defined results: nulls are a category of their own in each dimension; a null or empty
-text weighs nothing and shares its cell's probability; a cell without tokens keeps all
-its rows; equal keys share their fate; no rows give no rows.
+The cells' token weights are raked to each marginal in turn until all marginals hold; a
+document is then kept with its cell's calibrated probability, by a hash of its key, so
+the sample is the same in every run.
+
+A marginal's target is given as shares by label, or is its token share raised to
+``power`` and normalised: below 1 it favours small categories. The sample is as large as
+it can be with no cell asked for more than it holds, so that the expected shares are the
+targets. With a given ``fraction`` a cell asked for more gives all it has, and the shares
+miss the targets by that.
+
+Defined results: nulls are a category of their own in each dimension; a label without a
+given share has none, and given shares of labels that do not occur are left out, the
+others scaled to one; a null or empty text weighs nothing and shares its cell's
+probability; a cell without tokens keeps all its rows; equal keys share their fate;
+columns of any name are carried; no rows give no rows. Given targets that no weights of
+the cells there are can meet raise ``ValueError``; shares by power that cannot be met
+give a warning, and the last dimension's hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop, require, save, small_enough
 
-#: Raking rounds over all dimensions.
-ROUNDS = 8
+#: Raking ends when all marginals hold to ``TOLERANCE``, tested every ``TEST_EVERY`` rounds; at ``ROUNDS`` they must hold to ``MISS``.
+ROUNDS, TEST_EVERY, TOLERANCE, MISS = 16, 4, 1e-12, 1e-2
+#: Cells that one task rakes.
+CELLS_IN_ONE_TASK = 100_000
 #: Exponents of the target shares by dimension.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 
@@ -48,48 +58,81 @@ def _label(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("\x00null"))
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+def _with_targets(cells: DataFrame, dims: list[str], powers: dict[str, float], targets: dict[str, dict[str, float]]) -> DataFrame:
+    """``cells`` with each dimension's target total in ``target_<dim>``."""
+    out = cells
+    for dim in dims:
+        sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+        if dim in targets:
+            given = F.create_map(*[F.lit(x) for pair in targets[dim].items() for x in pair])
+            part = F.coalesce(F.try_element_at(given, F.col(dim)), F.lit(0.0)).cast("double")
+        else:
+            part = F.pow("t", F.lit(powers[dim]))
+        scale = sums.agg((F.sum("t") / F.nullif(F.sum(part), F.lit(0.0))).alias("scale"), F.count("*").alias("n")).first()
+        if scale["n"] and scale["scale"] is None:
+            raise ValueError(f"no label of {dim} that occurs has a target")
+        out = out.join(small_enough(sums.select(dim, (part * F.lit(scale["scale"] or 0.0)).alias(f"target_{dim}"))), dim, "left")
+    return out.select(*cells.columns, *[f"target_{d}" for d in dims])
+
+
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``: tokens raked to the targets, with the same total.
 
-    Each step is a small aggregation by one dimension joined back. A step reads its
-    predecessor twice, so each is written: plans stay one step long.
+    A step is a window over one dimension; some rounds are one plan, in one task where a
+    count shows few cells, and are written before their marginals are tested.
     """
-    now = save(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    targets = {}
-    for dim, power in powers.items():
-        sums = now.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
-        scale = sums.agg((F.sum("t") / F.sum(F.pow("t", F.lit(power)))).alias("scale"))
-        targets[dim] = save(sums.crossJoin(F.broadcast(scale)).select(dim, (F.pow("t", F.lit(power)) * F.col("scale")).alias("target")), "target")
-    for _ in range(rounds):
-        for dim in powers:
-            step = now.groupBy(dim).agg(F.sum("weight").alias("has")).where("has > 0").join(targets[dim], dim).select(dim, (F.col("target") / F.col("has")).alias("factor"))
-            before = now
-            now = save(now.join(step, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor"), "cells")
-            drop(before)
-    drop(*targets.values())
-    return now
-
-
-def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", fraction: float | None = None, powers: dict[str, float] = POWERS, seed: int = 0) -> DataFrame:
-    """All columns of ``docs`` with a struct ``mix``: dimensions, tokens, probability, kept.
-
+    dims = list(powers)
+    cells = save(cells, "cells")
+    one_task = cells.count() <= CELLS_IN_ONE_TASK
+    now = save(_with_targets(cells, dims, powers, targets or {}).withColumn("weight", F.col("tokens").cast("double")), "cells")
+    done = 0
+    while done < rounds:
+        step = now.coalesce(1) if one_task else now
+        for _ in range(min(TEST_EVERY, rounds - done)):
+            for dim in dims:
+                has = F.sum("weight").over(Window.partitionBy(dim))
+                step = step.withColumn("weight", F.when(has > 0, F.col("weight") * F.col(f"target_{dim}") / has).otherwise(F.col("weight")))
+        done += TEST_EVERY
+        before, now = now, save(step, "cells")
+        drop(before)
+        miss = 0.0
+        for dim in dims:
+            off = F.abs(F.sum("weight") - F.max(f"target_{dim}")) / F.greatest(F.max(f"target_{dim}"), F.lit(1.0))
+            miss = max(miss, now.groupBy(dim).agg(off.alias("off")).agg(F.max("off")).first()[0] or 0.0)
+        if miss < TOLERANCE:
+            break
+    if miss > MISS:
+        found = f"no weights meet all targets: {miss:.3f} off after {rounds} rounds"
+        if targets:
+            raise ValueError(found)
+        warnings.warn(found, stacklevel=2)
+    drop(cells)
+    return now.drop(*[f"target_{d}" for d in dims])
+
+
+def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", fraction: float | None = None, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, seed: int = 0, name: str = "mix") -> DataFrame:
+    """All columns of ``docs`` with a struct ``name``: dimensions, tokens, probability, kept.
+
+    ``targets`` gives shares by dimension and label, in place of the power of the token share.
     ``fraction`` is the wanted total against the tokens there are, before cells give out;
     none given: the largest at which no cell gives out.
     Cells are few against documents; they are broadcast where a count shows it, else
     joined by shuffle, where AQE splits a hot cell.
     """
     require(docs, key, text)
-    tag = "__mix_"
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already; give another name")
+    tag = f"__mix_{uuid.uuid4().hex[:8]}_"
     marked = docs.select("*", *[_label(c).alias(tag + d) for d, c in dims.items()], token_weight(docs[text]).alias(tag + "tokens"))
     cells = marked.groupBy(*[F.col(tag + d).alias(d) for d in dims]).agg(F.sum(tag + "tokens").alias("tokens"))
-    raked = rake(cells, {d: powers[d] for d in dims})
+    raked = rake(cells, {d: powers[d] for d in dims}, targets)
     if fraction is None:
         fraction = min(1.0, raked.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0] or 1.0)
     wanted = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(fraction) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0))
     chance = small_enough(raked.select(*[F.col(d).alias(tag + d) for d in dims], wanted.alias(tag + "p")))
     out = marked.join(chance, [tag + d for d in dims])
     facts = [*[F.col(tag + d).alias(d) for d in dims], F.col(tag + "tokens").alias("tokens"), F.col(tag + "p").alias("probability"), (uniform(docs[key], seed) < F.col(tag + "p")).alias("kept")]
-    return out.select(*[docs[c] for c in docs.columns], F.struct(*facts).alias("mix"))
+    return out.select(*[docs[c] for c in docs.columns], F.struct(*facts).alias(name))
 
 
 def document_dims(docs: DataFrame) -> dict[str, Column]:
@@ -97,11 +140,13 @@ def document_dims(docs: DataFrame) -> dict[str, Column]:
     return {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(F.coalesce(docs["text"], F.lit("")))}
 
 
-def mix_documents(docs: DataFrame, fraction: float | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, fraction: float | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) for each document."""
-    return mix(docs, document_dims(docs), fraction=fraction).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
+    docs = docs.select("doc_id", "text", "source", "lang")
+    return mix(docs, document_dims(docs), fraction=fraction, targets=targets).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
 
 
-def keep_mixed(docs: DataFrame) -> DataFrame:
+def keep_mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The documents that the mix keeps, columns unchanged."""
-    return mix(docs, document_dims(docs)).where("mix.kept").drop("mix")
+    name = f"__mix_{uuid.uuid4().hex[:8]}"
+    return mix(docs, document_dims(docs), targets=targets, name=name).where(f"{name}.kept").drop(name)

@@ -71,10 +71,11 @@ def _mixing_sql() -> str:
   select source, lang, topic, tokens, weight * coalesce(target / has, 1.0::double) as weight
   from (select *, sum(weight) over (partition by {dim}) as has from c{n}) left join target_{dim} using ({dim}))""")
             n += 1
+    steps.append(f"fraction as materialized (select least(1.0::double, coalesce(min(tokens / weight), 1.0::double)) as fraction from c{n} where weight > 0)")
     return "with " + ", ".join(steps) + f"""
 select doc_id, source, lang, topic, d.tokens as tokens, round(p, 6) as probability,
   ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0::double < p as kept
-from d join (select source, lang, topic, case when tokens > 0 then least(1.0::double, weight / tokens) else 1.0::double end as p from c{n}) using (source, lang, topic)
+from d join (select source, lang, topic, case when tokens > 0 then least(1.0::double, (select fraction from fraction) * weight / tokens) else 1.0::double end as p from c{n}) using (source, lang, topic)
 """
 
 
