@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import map_columns, require
+from .shared import map_batches, map_columns, release_memory, require
 
 #: Texts that the scorer is fitted on (about), hash buckets of its features, score from which a text stays.
 SAMPLE, BUCKETS, KEEP_FROM = 8000, 4096, 0.5
 #: Characters of a run without white space that count as one word of the scorer.
 PIECE = 60
+#: Texts that are Python strings at once.
+ROWS_AT_ONCE = 500
 _NONE, _BAD, _GOOD = 0, 1, 2
 _MARKS = "*%$#&|~^=<>{}[]\\"
 _RUNS = [(re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1+")]
@@ -180,27 +183,30 @@ def train(rows: list[dict[int, float]], targets: np.ndarray, ridge: float = 1.0,
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """The scorer's weights: vote patterns are counted over all rows, the scorer sees about ``sample`` of them."""
+    """The scorer's weights: vote patterns are counted over all rows, the scorer sees about ``sample`` of them.
+
+    The draw follows from the rows' places in their files, so the same files give the same weights.
+    """
     require(docs, key, text)
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
-    def tell(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for (texts,) in batches:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
             seen: Counter = Counter()
-            for t in texts:
-                f = Facts.of(t)
-                if f.words:
-                    seen[votes(f)] += 1
+            for at in range(0, len(b), ROWS_AT_ONCE):
+                for f in map(Facts.of, b.column(0).slice(at, ROWS_AT_ONCE).to_pylist()):
+                    if f.words:
+                        seen[votes(f)] += 1
             yield [list(seen), list(seen.values())]
 
-    told = map_columns(rows.select("text"), tell, T.StructType([T.StructField("pattern", T.LongType()), T.StructField("n", T.LongType())]))
+    told = map_batches(rows.select("text"), tell, T.StructType([T.StructField("pattern", T.LongType()), T.StructField("n", T.LongType())]))
     counted = sorted((r.pattern, r.n) for r in told.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
     if not counted:
         return np.zeros(BUCKETS)
     patterns, counts = (np.array(c) for c in zip(*counted))
     good = dict(zip(patterns.tolist(), estimate(patterns, counts).tolist()))
-    share = min(1.0, sample / counts.sum())
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    # each row is drawn on its own, so neither repeated keys nor repeated rows fill or empty the sample
+    drawn = rows.where(F.rand(5) < min(1.0, sample / counts.sum())).select("text")
 
     def describe(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         hasher = Hasher()
@@ -214,7 +220,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
             yield out
 
     schema = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
-    got = map_columns(drawn.select("text"), describe, schema).collect()
+    got = sorted(map_columns(drawn, describe, schema).collect(), key=lambda r: (r.pattern, r.buckets, r.shares))
     return train([dict(zip(r.buckets, r.shares)) for r in got], np.array([good.get(r.pattern, 0.5) for r in got]))
 
 
@@ -232,8 +238,7 @@ def score_rows(docs: DataFrame, weights: np.ndarray, text: str = "text", score:
         hasher = Hasher()
         for b in batches:
             scores = []
-            for t in b.column(at).to_pylist():
-                f = Facts.of(t)
+            for f in map(Facts.of, chain.from_iterable(b.column(at).slice(i, ROWS_AT_ONCE).to_pylist() for i in range(0, len(b), ROWS_AT_ONCE))):
                 x = hasher(f) if f.words else None
                 z = sum(weights[k] * v for k, v in x.items()) if x else 0.0
                 scores.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))) if x else 0.0)
@@ -241,6 +246,7 @@ def score_rows(docs: DataFrame, weights: np.ndarray, text: str = "text", score:
             columns = [c.cast(f.type) for c, f in zip(b.columns, arrow)]
             out = pa.RecordBatch.from_arrays(columns + [pa.array(scores)] * bool(score) + [pa.array(kept, pa.bool_())] * bool(keep), schema=arrow)
             yield out.filter(pa.array(kept, pa.bool_())) if only_kept else out
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
