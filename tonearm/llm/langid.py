@@ -4,10 +4,11 @@ A known word scores by its log frequency in each language; a word that no langua
 knows backs off to its character n-grams, from four characters down to one, and takes
 the mean of the longest ones known. A text's language has the best mean word score.
 
-The model is fitted on at most about ``docs_per_lang`` texts of each language, chosen by
-a hash of the key alone, and holds at most ``most_words`` words and ``most_grams`` n-grams
-of a length per language, so its size does not grow with the corpus and it may be
-broadcast. Every text is predicted whole.
+The model is fitted on about ``docs_per_lang`` texts of each language at most, and
+``most_docs`` in all, drawn row by row from a fixed seed, so that the same files give the
+same model. It holds every word and n-gram of these,
+as sparse rows of the languages that have it, so its size follows from the sample and not
+from the corpus, and it may be broadcast. Every text is predicted whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; rows
 with null language are predicted but not learned from; a language whose drawn texts
@@ -31,11 +32,13 @@ from pyspark.sql import types as T
 
 from .shared import drop, map_columns, require, save
 
-#: Bounds of the fit; see the module's text.
-DOCS_PER_LANG, MOST_WORDS, MOST_GRAMS, MOST_LANGS = 3000, 30_000, 20_000, 1000
+#: Bounds of the labelled rows of the fit.
+DOCS_PER_LANG, MOST_DOCS = 1000, 20_000
 LONGEST_GRAM = 4
 #: Occurrences that an unseen entry counts as in the largest language; occurrences added to every total, so that few do not weigh as many.
 UNSEEN, SPARE = 0.5, 1000.0
+#: Words from which a text's score counts as sure as it gets.
+SURE_FROM = 10
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,21 +52,54 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@dataclass
+class Entries:
+    """Log frequencies of entries by language, kept where a language has the entry; ``unseen`` elsewhere."""
+
+    place: dict[str, int]
+    start: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+    unseen: float
+
+    @classmethod
+    def of(cls, rows: list[tuple], langs: list[str], totals: list[float]) -> "Entries":
+        """From (lang, entry, n)."""
+        rows = sorted(rows, key=lambda r: r[1])
+        at = {lang: i for i, lang in enumerate(langs)}
+        sizes = np.array(totals, np.float64) + SPARE
+        unseen = float(np.log(UNSEEN / sizes.max()))
+        lang = np.array([at[r[0]] for r in rows], np.int32)
+        more = np.log(np.array([r[2] for r in rows], np.float64) / sizes[lang]) - unseen
+        place: dict[str, int] = {}
+        start = []
+        for i, (_, entry, _) in enumerate(rows):
+            if entry not in place:
+                place[entry] = len(start)
+                start.append(i)
+        return cls(place, np.array([*start, len(rows)], np.int64), lang, more, unseen)
+
+    def total(self, at: list[int], counts: np.ndarray, langs: int) -> np.ndarray:
+        """Sum over entries of count times score, by language."""
+        first, last = self.start[at], self.start[np.array(at) + 1]
+        size = last - first
+        rows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.lang[rows], self.more[rows] * np.repeat(counts, size), langs) + counts.sum() * self.unseen
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[int, dict[str, int]]
-    gram_scores: dict[int, np.ndarray]
+    words: Entries | None = None
+    grams: dict[int, Entries] = field(default_factory=dict)
     memo: dict[str, np.ndarray] = field(default_factory=dict)
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST_GRAM, 0, -1):
-            known = self.grams.get(n, {})
-            at = [known[g] for g in grams_of(word, n) if g in known]
+            known = self.grams.get(n)
+            at = [known.place[g] for g in grams_of(word, n) if g in known.place] if known else []
             if at:
-                return self.gram_scores[n][at].mean(axis=0)
+                return known.total(at, np.ones(len(at)), len(self.langs)) / len(at)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -75,7 +111,7 @@ class Model:
         if len(self.memo) > 200_000:
             self.memo = {}
         for w, n in words.items():
-            at = self.words.get(w)
+            at = self.words.place.get(w)
             if at is not None:
                 known.append(at)
                 counts.append(n)
@@ -85,55 +121,27 @@ class Model:
                     score = self.memo[w] = self.backoff(w)
                 rest = rest + n * score
         if known:
-            rest = rest + np.array(counts, np.float64) @ self.word_scores[known]
+            rest = rest + self.words.total(known, np.array(counts, np.float64), len(self.langs))
         mean = rest / total
         best = int(np.argmax(mean))
-        odds = np.exp((mean - mean[best]) * min(total, 10))
+        odds = np.exp((mean - mean[best]) * min(total, SURE_FROM))
         return self.langs[best], float(1 / odds.sum())
 
 
-def _scores(rows: list[tuple], langs: list[str], totals: list[float]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies of (lang, entry, n) by entry and language."""
-    place: dict[str, int] = {}
-    for _, entry, _ in rows:
-        place.setdefault(entry, len(place))
-    sizes = np.array(totals, np.float64) + SPARE
-    shares = np.full((len(place), len(langs)), UNSEEN / sizes.max())
-    at = {lang: i for i, lang in enumerate(langs)}
-    for lang, entry, n in rows:
-        shares[place[entry], at[lang]] = n / sizes[at[lang]]
-    return place, np.log(shares)
-
-
-def _frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
-    """The entries at or above the count at which each group of ``by`` has at most ``most`` of them."""
-    floors: dict[tuple, int] = {}
-    seen: Counter = Counter()
-    for r in sorted(counts.groupBy(*by, "n").agg(F.count("*").alias("entries")).collect(), key=lambda r: -r.n):
-        k = tuple(r[c] for c in by)
-        seen[k] += r.entries
-        if seen[k] <= most:
-            floors[k] = r.n
-    if not floors:
-        return counts.limit(0)
-    types = {f.name: f.dataType for f in counts.schema.fields}
-    schema = T.StructType([*[T.StructField(c, types[c]) for c in by], T.StructField("floor", T.LongType())])
-    return counts.join(F.broadcast(counts.sparkSession.createDataFrame([(*k, n) for k, n in floors.items()], schema)), by).where("n >= floor").drop("floor")
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, most_docs: int = MOST_DOCS) -> Model:
     """A model of the rows' text and language."""
     require(docs, key, text, lang)
     spark = docs.sparkSession
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not langs:
-        return Model([], {}, np.zeros((0, 0)), {}, {})
-    share = F.broadcast(spark.createDataFrame([(x, min(1.0, docs_per_lang / sizes[x])) for x in langs], "lang string, share double"))
-    drawn = rows.join(share, "lang").where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        return Model([])
+    wanted = {x: min(docs_per_lang, sizes[x]) for x in langs}
+    part = min(1.0, most_docs / sum(wanted.values()))
+    share = F.broadcast(spark.createDataFrame([(x, part * wanted[x] / sizes[x]) for x in langs], "lang string, share double"))
+    # each row is drawn on its own, so neither repeated keys nor repeated rows fill or empty the sample
+    drawn = rows.withColumn("draw", F.rand(11)).join(share, "lang").where("draw < share")
 
     def count(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for texts, names in batches:
@@ -149,11 +157,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     langs = [x for x in langs if x in total]
     if not langs:
         drop(words)
-        return Model([], {}, np.zeros((0, 0)), {}, {})
-    totals = [total[x] for x in langs]
-    # each list that comes to the driver is bounded by the model's own size
-    kept = [(r.lang, r.entry, r.n) for r in _frequent(words.where("n > 1"), ["lang"], most_words).collect()]
-    place, scores = _scores(kept, langs, totals)
+        return Model([])
+    # each list that comes to the driver is bounded by the sample
+    known = Entries.of([(r.lang, r.entry, r.n) for r in words.collect()], langs, [total[x] for x in langs])
     padded = F.concat(F.lit(" "), "entry", F.lit(" "))
     sizes_of = F.sequence(F.lit(1), F.lit(LONGEST_GRAM))
     cut = F.flatten(F.transform(sizes_of, lambda n: F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, n))).otherwise(F.array().cast("array<string>"))))
@@ -161,13 +167,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     grams = save(grams.withColumn("size", F.length("entry")), "grams")
     gram_total = {(r.lang, r.size): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     got: dict[int, list] = {}
-    for r in _frequent(grams, ["lang", "size"], most_grams).collect():
+    for r in grams.collect():
         got.setdefault(r.size, []).append((r.lang, r.entry, r.n))
-    gram_place, gram_scores = {}, {}
-    for n, entries in got.items():
-        gram_place[n], gram_scores[n] = _scores(entries, langs, [gram_total.get((x, n), 0) for x in langs])
     drop(words, grams)
-    return Model(langs, place, scores, gram_place, gram_scores)
+    return Model(langs, known, {n: Entries.of(entries, langs, [gram_total.get((x, n), 0) for x in langs]) for n, entries in got.items()})
 
 
 _models: dict[int, Model] = {}
@@ -176,7 +179,7 @@ _models: dict[int, Model] = {}
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for each row of ``docs``; reads nothing but key and text."""
     require(docs, key, text)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.word_scores, model.grams, model.gram_scores))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
     name = id(shared)
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
