@@ -83,6 +83,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """(key, n_links, component_id, kept) for each row of ``vectors``."""
     require(vectors, key, vector, label)
     key_type, label_type = vectors.schema[key].dataType, vectors.schema[label].dataType
+    # components travel as they are stored; cosines are taken in double precision
+    kind = np.dtype("<f4") if isinstance(getattr(vectors.schema[vector].dataType, "elementType", None), T.FloatType) else np.dtype("<f8")
     told_schema = T.StructType([T.StructField("key", key_type), T.StructField("label", label_type), T.StructField("class_id", T.BinaryType()), T.StructField("vec", T.BinaryType())])
 
     def describe(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -94,7 +96,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                     a = np.array(v, np.float64)
                     size = np.abs(a).max()
                     if np.isfinite(size) and size > 0:
-                        raw = a.tobytes()
+                        raw = a.astype(kind).tobytes()
                 ids.append(raw and xxhash.xxh3_128_digest(f"{lab}\0".encode() + raw))
                 raws.append(raw)
             yield [keys, labels, ids, raws]
@@ -109,7 +111,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     def hash_codes(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for columns in batches:
             codes: list = [None] * len(columns[0])
-            rows = [np.frombuffer(v) for v in columns[5]]
+            rows = [np.frombuffer(v, kind).astype(np.float64) for v in columns[5]]
             for size in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == size]
                 unit = np.array([rows[i] / np.abs(rows[i]).max() for i in at])
@@ -132,7 +134,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     def links_of(members: list[tuple]) -> tuple[list, list, list]:
         table, i, j = members[0][0], members[0][4], members[0][5]
         members = sorted(members, key=lambda r: (r[6] != i, r[7]))
-        unit = np.array([np.frombuffer(r[10]) for r in members])
+        unit = np.array([np.frombuffer(r[10], kind) for r in members]).astype(np.float64)
         unit /= np.abs(unit).max(axis=1, keepdims=True)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         cut = sum(r[6] == i for r in members)
