@@ -8,8 +8,8 @@ tests the url's path against the paths of each.
 
 Urls are dealt by ranges of (key, path, id), so one host with a third of all rows
 spreads over many tasks. A rule goes to each range that its interval meets. The
-range bounds come from a bounded number of sampled keys per partition; the rules
-themselves are never broadcast.
+range bounds are quantiles of a sample whose size follows from the number of ranges;
+the rules themselves are never broadcast.
 
 Defined results: of the rules that fit, the longest ``host + path`` wins; of equally
 long ones the longer host, then block before allow. A null url or one without
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .shared import map_columns, require, shuffle_partitions
 
-#: Keys sampled from each input partition for the range bounds.
-BOUND_KEYS = 64
+#: Keys sampled for each range.
+BOUND_KEYS = 32
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -52,26 +52,11 @@ def host_key(host: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
-    """About ``parts`` range bounds over (key, path, tie), from a bounded sample of each partition."""
-
-    def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, kept = 0, None
-        for f in frames:
-            f = f.assign(h=pd.util.hash_pandas_object(f, index=False))
-            seen += len(f)
-            kept = f if kept is None else pd.concat([kept, f])
-            kept = kept.nsmallest(BOUND_KEYS, "h")
-        if kept is not None and seen:
-            yield kept.drop(columns="h").assign(w=seen / len(kept))
-
-    got = keys.mapInPandas(sample, "key string, path string, tie long, w double").collect()
-    got = sorted((r.key, r.path, r.tie, r.w) for r in got)
-    total, done, out = sum(r[3] for r in got), 0.0, []
-    for k, p, t, w in got:
-        if done + w >= total / parts * (len(out) + 1) and len(out) < parts - 1:
-            out.append((k, p, t))
-        done += w
-    return sorted(set(out))
+    """Range bounds over (key, path, tie): quantiles of about ``BOUND_KEYS`` sampled rows a range, however many partitions are read."""
+    total = keys.count()
+    drawn = keys.where(F.rand(7) < min(1.0, BOUND_KEYS * parts / max(1, total)))
+    got = sorted((r.key, r.path, r.tie) for r in drawn.collect())
+    return sorted({got[len(got) * k // parts] for k in range(1, parts)}) if got else []
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
