@@ -5,36 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Recursion ends here; a node that deep counts as never reaching a root.
-MAX_DEPTH = 64
-
-
-def descendants(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(ancestor, node, depth) for every node and all above it, itincluded with depth 0."""
-    return nodes.sparkSession.sql(
-        f"""
-        with recursive walk(ancestor, node, depth) as (
-          select id, id, 0 from {{nodes}}
-          union all
-          select w.ancestor, n.id, w.depth + 1 from walk w join {{nodes}} n on n.parent = w.node where w.depth < {max_depth}
-        ) select ancestor, node, depth from walk""",
-        nodes=nodes,
-    )
-
-
-def integrity(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+from . import durable
+
+
+def tops(nodes: DataFrame) -> DataFrame:
+    """(id, parent, known, at, ended, rooted) of each node of a table with unique ids.
+
+    ``known``: the parent is a node. ``at`` is the last node above (the node itself if it
+    has none), ``rooted`` tells whether that one's parent is null. ``ended`` is false for
+    nodes on or below a cycle, which have no last node.
+
+    Pointer doubling: a step looks up where the node pointed at points, so chains of any
+    depth end after log2(depth) written steps. A chain that is still open ends some of its
+    nodes in the next step; so what is left when a step ends none is cyclic.
+    """
+    own = nodes.select("id", "parent")
+    above = own.select(F.col("id").alias("__above"))
+    known = F.col("__above").isNotNull()
+    first = own.join(above, F.col("parent") == F.col("__above"), "left")
+    state = durable.written(first.select("id", "parent", known.alias("known"), F.coalesce("__above", "id").alias("at"), (~known).alias("ended"), F.col("parent").isNull().alias("rooted")))
+    size, now = None, state.where("not ended").count()
+    while now and now != size:
+        there = state.select(F.col("id").alias("__id"), F.col("at").alias("__at"), F.col("ended").alias("__ended"), F.col("rooted").alias("__rooted"))
+        moved = state.where("not ended").join(there, F.col("at") == F.col("__id"))
+        moved = moved.select("id", "parent", "known", F.col("__at").alias("at"), F.col("__ended").alias("ended"), F.col("__rooted").alias("rooted"))
+        after = durable.written(state.where("ended").unionByName(moved))
+        durable.drop(state)
+        state, size, now = after, now, after.where("not ended").count()
+    return state
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(ancestor, node, depth) for every node and all above it, itself included with depth 0.
+
+    Each pair comes once, at its least depth; a node on a cycle has the whole cycle above
+    it. Steps double the depth covered: pairs up to 2**k levels apart are extended by the
+    links of 2**k levels. Only nodes on or below a cycle need their pairs made distinct.
+    """
+    state = tops(nodes)
+    out = _doubled(state.where("ended"), distinct=False)
+    if not state.where("not ended").isEmpty():
+        out = out.unionByName(_doubled(state.where("not ended"), distinct=True))
+    return out
+
+
+def _doubled(state: DataFrame, distinct: bool) -> DataFrame:
+    pairs = durable.written(state.select(F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("depth")))
+    links = durable.written(state.where("known").select("id", F.col("parent").alias("up")))
+    span, size = 1, pairs.count()
+    while not links.isEmpty():
+        further = pairs.join(links, F.col("ancestor") == F.col("id")).select(F.col("up").alias("ancestor"), "node", (F.col("depth") + span).alias("depth"))
+        reached = pairs.unionByName(further)
+        if distinct:
+            reached = reached.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        more = durable.written(reached)
+        durable.drop(pairs)
+        pairs, before, size = more, size, more.count()
+        if distinct and size == before:
+            break
+        second = links.select(F.col("id").alias("__id"), F.col("up").alias("__up"))
+        longer = durable.written(links.join(second, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up")))
+        durable.drop(links)
+        links, span = longer, 2 * span
+    durable.drop(links)
+    return pairs
+
+
+def integrity(nodes: DataFrame) -> DataFrame:
     """(id, problem): ``dangling`` when the parent is missing, ``unrooted`` when no root is reached, else ``ok``."""
-    return nodes.sparkSession.sql(
-        f"""
-        with recursive reach(id, depth) as (
-          select id, 0 from {{nodes}} where parent is null
-          union all
-          select n.id, r.depth + 1 from reach r join {{nodes}} n on n.parent = r.id where r.depth < {max_depth}
-        )
-        select n.id, case when n.parent is not null and p.id is null then 'dangling' when r.id is null then 'unrooted' else 'ok' end as problem
-        from {{nodes}} n left join {{nodes}} p on n.parent = p.id left join (select distinct id from reach) r on n.id = r.id""",
-        nodes=nodes,
-    )
+    dangling = F.col("parent").isNotNull() & ~F.col("known")
+    ok = F.col("ended") & F.col("rooted")
+    return tops(nodes).select("id", F.when(dangling, "dangling").when(~ok, "unrooted").otherwise("ok").alias("problem"))
 
 
 def overlay(nodes: DataFrame, adds: DataFrame, renames: DataFrame, moves: DataFrame, deletes: DataFrame) -> DataFrame:
