@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import number_rows
+from . import durable
+from .store import number_rows, running_total
 
 # Components (sign, group), group weights, anchors (calm end, hard end).
 COMPONENTS = {
@@ -82,34 +83,74 @@ def robust_z(x: Column, median: Column, iqr: Column) -> Column:
     return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), (x - median) / (iqr + F.lit(1e-12))))
 
 
-def _spread(names: list[str]) -> list[Column]:
-    """Exact medians and IQRs of columns in one aggregation."""
-    return [x for n in names for x in (F.percentile(n, F.lit(0.5)).alias(f"{n}__median"), (F.percentile(n, F.lit(0.75)) - F.percentile(n, F.lit(0.25))).alias(f"{n}__iqr"))]
+def quantiles(rows: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of columns, interpolated between neighbours; nulls do not count, an empty column has None.
 
+    All columns are counted by value and put in one global order of range partitions, so
+    no task holds a column's values. The driver sees one row a column and two a quantile.
+    """
+    names = list(wanted)
+    cells = [F.struct(F.lit(i).alias("column"), F.col(n).cast("double").alias("value")) for i, n in enumerate(names)]
+    counts = rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = running_total(counts, [F.col("column"), F.col("value")], "n", "before")
+    spans = {r["column"]: (r["first"], r["total"]) for r in placed.groupBy("column").agg(F.min("before").alias("first"), F.sum("n").alias("total")).collect()}
+    place = {(names[i], q): first + q * (total - 1) for i, (first, total) in spans.items() for q in wanted[names[i]]}
+    ends = sorted({e for x in place.values() for e in (math.floor(x), math.ceil(x))})
+    if not ends:
+        return {n: dict.fromkeys(wanted[n]) for n in names}
+    held = placed.where(F.exists(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: (e >= F.col("before")) & (e < F.col("before") + F.col("n")))).collect()
+    at = {e: r["value"] for r in held for e in ends if r["before"] <= e < r["before"] + r["n"]}
 
-def _standardised(rows: DataFrame, names: list[str], out: Mapping[str, str], frozen: Mapping[str, tuple[float, float]] | None) -> DataFrame:
-    """``rows`` with robust z of each name; statistics are one broadcast row unless frozen."""
-    if frozen:
-        return rows.withColumns({out[n]: robust_z(F.col(n), F.lit(frozen[n][0]), F.lit(frozen[n][1])) for n in names})
-    stats = rows.agg(*_spread(names))
-    z = {out[n]: robust_z(F.col(n), F.col(f"{n}__median"), F.col(f"{n}__iqr")) for n in names}
-    return rows.crossJoin(F.broadcast(stats)).withColumns(z).drop(*[f"{n}__{s}" for n in names for s in ("median", "iqr")])
+    def value(n: str, q: float) -> float | None:
+        x = place.get((n, q))
+        if x is None:
+            return None
+        low, high = at[math.floor(x)], at[math.ceil(x)]
+        return low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
 
+    return {n: {q: value(n, q) for q in wanted[n]} for n in names}
 
-def score(rows: DataFrame, scale: Scale = ENERGY, calibration: Calibration | None = None) -> DataFrame:
-    """``rows`` with z_<component>, m_<group> (raw mean), g_<group> (standardised again) and score."""
-    if calibration is not None and calibration.is_stale(scale):
-        calibration = None
-    names = list(scale.components)
-    out = _standardised(rows, names, {n: f"z_{n}" for n in names}, calibration and calibration.features)
-    out = out.withColumns({f"z_{n}": F.col(f"z_{n}") * float(scale.components[n][0]) for n in names})
-    groups = list(scale.weights)
-    out = out.withColumns({f"m_{g}": reduce(lambda a, b: a + b, [F.col(f"z_{n}") for n in scale.members(g)]) / float(len(scale.members(g))) for g in groups})
-    means = {f"m_{g}": f"g_{g}" for g in groups}
-    out = _standardised(out, list(means), means, calibration and {f"m_{g}": v for g, v in calibration.groups.items()})
+
+def spreads(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Exact median and IQR of each column."""
+    got = quantiles(rows, dict.fromkeys(names, (0.25, 0.5, 0.75)))
+    return {n: (q[0.5], None if q[0.5] is None else q[0.75] - q[0.25]) for n, q in got.items()}
+
+
+def _z(name: str, spread: tuple[float | None, float | None]) -> Column:
+    median, iqr = (F.lit(x).cast("double") for x in spread)
+    return robust_z(F.col(name), median, iqr)
+
+
+def _means(rows: DataFrame, scale: Scale, features: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """``rows`` with z_<component> and m_<group>."""
+    out = rows.withColumns({f"z_{n}": _z(n, features[n]) * float(sign) for n, (sign, _) in scale.components.items()})
+    return out.withColumns({f"m_{g}": reduce(lambda a, b: a + b, [F.col(f"z_{n}") for n in scale.members(g)]) / float(len(scale.members(g))) for g in scale.weights})
+
+
+def _total(means: DataFrame, scale: Scale, groups: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """``means`` with g_<group> and score."""
+    out = means.withColumns({f"g_{g}": _z(f"m_{g}", groups[g]) for g in scale.weights})
     return out.withColumn("score", reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(f"g_{g}") for g, w in scale.weights.items()]))
 
 
+def _group_spreads(means: DataFrame, scale: Scale) -> dict[str, tuple[float | None, float | None]]:
+    got = spreads(means, [f"m_{g}" for g in scale.weights])
+    return {g: got[f"m_{g}"] for g in scale.weights}
+
+
+def score(rows: DataFrame, scale: Scale = ENERGY, calibration: Calibration | None = None) -> DataFrame:
+    """``rows`` with z_<component>, m_<group> (raw mean), g_<group> (standardised again) and score.
+
+    Without a calibration the rows are written once, since statistics and scores read them again.
+    """
+    if calibration is not None and not calibration.is_stale(scale):
+        return _total(_means(rows, scale, calibration.features), scale, calibration.groups)
+    rows = durable.written(rows)
+    means = _means(rows, scale, spreads(rows, list(scale.components)))
+    return _total(means, scale, _group_spreads(means, scale))
+
+
 def relative_deciles(scored: DataFrame, key: str, by: str = "score") -> DataFrame:
     """``scored`` with pct = (rank + .5) / n and decile 1 to 10; equal scores rank by key.
 
@@ -126,20 +167,24 @@ def frozen_decile(value: Column, thresholds: Column) -> Column:
     return (F.size(F.filter(thresholds, lambda t: t <= value)) + 1).cast("int")
 
 
-def threshold_columns(by: str = "score") -> list[Column]:
+def thresholds(scored: DataFrame, by: str = "score") -> tuple[float | None, ...]:
     """Seven octiles, and two more bands of the last one's width as headroom."""
-    octiles = [F.percentile(by, F.lit(k / 8)) for k in range(1, 8)]
+    octiles = list(quantiles(scored, {by: [k / 8 for k in range(1, 8)]})[by].values())
+    if octiles[0] is None:
+        return (None,) * 9
     band = octiles[6] - octiles[5]
-    return [F.array(*octiles, octiles[6] + band, octiles[6] + 2 * band).alias("thresholds")]
+    return (*octiles, octiles[6] + band, octiles[6] + 2 * band)
 
 
 def calibrate(rows: DataFrame, scale: Scale = ENERGY) -> Calibration:
     """Statistics of features and raw group means, so that rescoring the same rows gives the same deciles."""
-    scored = score(rows, scale)
-    names, means = list(scale.components), [f"m_{g}" for g in scale.weights]
-    r = scored.agg(*_spread(names + means), *threshold_columns()).first()
-    pick = lambda n: (r[f"{n}__median"], r[f"{n}__iqr"])
-    return Calibration({n: pick(n) for n in names}, {g: pick(f"m_{g}") for g in scale.weights}, tuple(r["thresholds"]))
+    rows = durable.written(rows)
+    features = spreads(rows, list(scale.components))
+    means = _means(rows, scale, features)
+    groups = _group_spreads(means, scale)
+    found = thresholds(_total(means, scale, groups))
+    durable.drop(rows)
+    return Calibration(features, groups, found)
 
 
 def absolute_score(scale: Scale, anchors: Mapping[str, tuple[float, float]]) -> Column:
@@ -172,7 +217,6 @@ def group_medians(scored: DataFrame, group: str, by: str = "score") -> DataFrame
 def ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Average ranks for rank correlation: ties share the mean of their places."""
     counts = rows.groupBy(column).agg(F.count("*").alias("__c"))
-    numbered = number_rows(counts, [F.col(column)], "__p")
-    before = numbered.withColumn("__b", F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))
-    mean = before.select(column, (F.coalesce("__b", F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(name))
+    before = running_total(counts, [F.col(column)], "__c", "__b")
+    mean = before.select(column, (F.col("__b") + (F.col("__c") + 1) / 2.0).alias(name))
     return rows.join(mean, column)

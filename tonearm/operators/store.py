@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import durable
+
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key, whole. Null order values come first.
@@ -67,13 +69,10 @@ def fill_empty(current: Column, new: Column) -> Column:
 
 
 def get_or_create(dim: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
-    """``dim`` with a new row for each unknown name, numbered on from the largest key.
-
-    Few names are new against the rows that use them: the ordering window sees distinct new names only.
-    """
+    """``dim`` with a new row for each unknown name, numbered on from the largest key in the order of names."""
     new = names.select(name).where(F.col(name).isNotNull()).distinct().join(dim.select(name), name, "left_anti")
     top = dim.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    numbered = new.select(F.row_number().over(W.orderBy(name)).alias("n"), name).crossJoin(F.broadcast(top))
+    numbered = number_rows(new, [F.col(name)], "n").crossJoin(F.broadcast(top))  # one row
     return dim.select(key, name).unionByName(numbered.select((F.col("n") + F.col("top")).cast(dim.schema[key].dataType).alias(key), name))
 
 
@@ -111,8 +110,22 @@ def change_numbers(changes: DataFrame, base: int, value: str, key: Sequence[str]
 
 
 def number_rows(rows: DataFrame, order: Sequence[Column], name: str, base: int = 0) -> DataFrame:
-    """``name`` = base + 1, 2, ... in the given global order, by range partitions and one count per partition."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    """``name`` = base + 1, 2, ... in the given global order, by range partitions and one count per partition.
+
+    The sorted rows are written before they are counted, so that counts and numbers see
+    the same partitions and the same order of ties.
+    """
+    parts = durable.written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
     firsts = parts.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = firsts.select("__part", "__first", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     return parts.join(F.broadcast(before), "__part").withColumn(name, (F.col("__id") - F.col("__first") + F.col("__before") + base + 1).cast("long")).drop("__part", "__id", "__first", "__before")
+
+
+def running_total(rows: DataFrame, order: Sequence[Column], weight: str, name: str) -> DataFrame:
+    """``name`` = sum of ``weight`` of all rows before this one in the given global order, in the manner of ``number_rows``."""
+    within = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = durable.written(placed.withColumn("__in", F.coalesce(F.sum(weight).over(within), F.lit(0))))
+    sums = parts.groupBy("__part").agg(F.sum(weight).alias("__n"))
+    before = sums.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
