@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of one block of a tiled product.
 TILE_ROWS = 2048
+#: Numbers in all centroids together that may be sent to every task (64 MB).
+MOST_CENTROIDS = 8_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,7 +71,10 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, r
                 low, high = pa.compute.if_else(swap, c, a), pa.compute.if_else(swap, a, c)
                 yield pa.RecordBatch.from_arrays([low, high, pa.array(s[p, q])], ["a", "b", "sim"])
 
-    tiles = left.join(right, F.col("i") <= F.col("j")).repartition("i", "j")
+    # each left block names the right blocks it meets: an equi-join, which Spark broadcasts by size only
+    last = b.agg(F.max("block").alias("last"))  # one row
+    met = left.crossJoin(last).withColumn("j", F.explode(F.sequence("i", "last"))).drop("last")
+    tiles = met.join(right, "j").select("i", "ka", "fa", "na", "j", "kb", "fb", "nb").repartition("i", "j")
     return tiles.mapInArrow(product, f"a {kind}, b {kind}, sim double")
 
 
@@ -113,11 +118,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, floor: float | None = None) -> DataFrame:
     """(key, cluster, sim): the centroid with the largest dot product (the lesser cluster of equals), null below ``floor``.
 
-    Centroids are k rows by construction and are broadcast.
+    All centroids travel as one array to each vector, which takes the best of them where
+    it lies; more than ``MOST_CENTROIDS`` values raise.
     """
-    c = F.broadcast(centroids.select("cluster", F.col("centroid").alias("__c")))
-    s = vectors.join(c).select(key, F.struct(dot(F.col(vector), F.col("__c")).alias("sim"), (-F.col("cluster")).alias("low")).alias("s"))
-    best = s.groupBy(key).agg(F.max("s").alias("s"))
+    size = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > MOST_CENTROIDS:
+        raise ValueError(f"{size} values of centroids are too many to send to every task")
+    c = F.broadcast(centroids.agg(F.collect_list(F.struct("cluster", "centroid")).alias("__c")))  # one row, of checked size
+    each = F.transform("__c", lambda x: F.struct(dot(F.col(vector), x["centroid"]).alias("sim"), (-x["cluster"]).alias("low")))
+    best = vectors.crossJoin(c).select(key, F.array_max(each).alias("s"))
     cluster = (-F.col("s.low")).cast(centroids.schema["cluster"].dataType)
     return best.select(key, (cluster if floor is None else F.when(F.col("s.sim") >= floor, cluster)).alias("cluster"), F.col("s.sim").alias("sim"))
 
