@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.operators import store
+from tonearm.operators import durable, store
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -52,14 +52,19 @@ def with_retries(call: Callable[[], Mapping], attempts: int = 4, sleep=time.slee
 
 
 def cached_lookup(requests: DataFrame, cache: DataFrame, call: Callable[[str], Mapping], attempts: int = 4) -> DataFrame:
-    """(k, v) for each distinct request key: from the cache, else called in Arrow batches on the executors."""
+    """(k, v) for each distinct request key: from the cache, else called in Arrow batches on the executors.
+
+    Answers are written as they come in, so that reading the result again calls nothing;
+    a task that is run again repeats its own calls only.
+    """
     missing = store.not_done(requests.select("k").distinct(), cache, ["k"])
 
     def run(frames: Iterable):
         for f in frames:
             yield f.assign(v=[json.dumps(with_retries(lambda k=k: call(k), attempts)) for k in f["k"]])
 
-    return missing.mapInPandas(run, "k string, v string").unionByName(cache.join(requests.select("k"), "k", "left_semi").select("k", "v"))
+    fetched = durable.written(missing.mapInPandas(run, "k string, v string"))
+    return fetched.unionByName(cache.join(requests.select("k"), "k", "left_semi").select("k", "v"))
 
 
 def first_hit(results: DataFrame, key: str, step: str) -> DataFrame:
