@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,41 @@ def test_tree_problems(spark):
     assert rows(tree.integrity(nodes), "id", "problem") == [("a", "ok"), ("d", "dangling"), ("e", "unrooted"), ("r", "ok"), ("x", "unrooted"), ("y", "unrooted")]
 
 
+def test_tree_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(10_000)]
+    loop = [(20_000 + i, 20_000 + (i + 1) % 7) for i in range(7)] + [(30_000 + i, 29_999 + i if i else 20_003) for i in range(100)]
+    got = dict(tree.integrity(spark.createDataFrame(chain + loop, "id long, parent long")).collect())
+    assert sum(p == "ok" for p in got.values()) == 10_000 and all(got[i] == "unrooted" for i, _ in loop)
+
+
+def test_closure_of_chains_and_cycles(spark):
+    edges = {i: i - 1 if i else None for i in range(200)} | {1000 + i: 1000 + (i + 1) % 5 for i in range(5)} | {2000: 1002, 2001: 2000, 3000: 9999, 3001: 3000}
+    want = set()
+    for node in edges:
+        at, depth, seen = node, 0, set()
+        while at in edges and at not in seen:
+            want.add((at, node, depth))
+            seen.add(at)
+            at, depth = edges[at], depth + 1
+    got = tree.descendants(spark.createDataFrame(list(edges.items()), "id long, parent long")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert tree.descendants(spark.createDataFrame([], "id long, parent long")).collect() == []
+
+
+def test_quantiles_and_ranks(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 40, 3001).astype(float), rng.standard_normal(3001)
+    data = [(float(a), float(b) if k % 7 else None, None) for k, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, "x double, y double, z double").repartition(11)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = scale.quantiles(df, {"x": shares, "y": shares, "z": (0.5,)})
+    kept = [b for _, b, _ in data if b is not None]
+    assert got["z"] == {0.5: None}
+    assert np.allclose(list(got["x"].values()), np.quantile(x, shares)) and np.allclose(list(got["y"].values()), np.quantile(kept, shares))
+    ranked = {r.x: r.r for r in scale.ranks(df.select("x"), "x", "r").collect()}
+    assert all(ranked[v] == (x < v).sum() + ((x == v).sum() + 1) / 2 for v in set(x))
+
+
 def test_consolidation_drops_collisions(spark):
     t = spark.createDataFrame([("1", "root", "a", 1), ("2", "root", "b", 2)], "id string, parent string, name string, seq int")
     links = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "y")], "tag string, track string")
@@ -150,19 +186,76 @@ def test_signal_of_a_pulse_train():
     assert signal.summarise(x[: rate * 5], rate) is None
 
 
+def hand_page(number, after, rows, small, large, masks, flags=0, stride=24):
+    """A page put together byte by byte; rows lie ``stride`` bytes apart, last row first."""
+    page = bytearray(4096)
+    struct.pack_into("<III", page, 4, number, 0, after)
+    page[24], page[27] = small, flags
+    struct.pack_into("<H", page, 34, large)
+    for i, row in enumerate(rows):
+        at = stride * (len(rows) - 1 - i)
+        struct.pack_into("<6I", page, 40 + at, *row)
+        struct.pack_into("<H", page, 4096 - 36 * (i // 16) - 6 - 2 * (i % 16), at)
+    for g, mask in enumerate(masks):
+        struct.pack_into("<H", page, 4096 - 36 * g - 4, mask)
+    return bytes(page)
+
+
+def hand_image(*pages_, entries):
+    header = bytearray(4096)
+    struct.pack_into("<I", header, 8, len(entries))
+    for t, entry in enumerate(entries):
+        struct.pack_into("<4I", header, 28 + 16 * t, *entry)
+    return bytes(header) + b"".join(pages_)
+
+
+def test_pages_put_together_by_hand():
+    a = [(i, 1, 2, 3, 4, 5) for i in range(20)]
+    b = [(100 + i, 0, 0, 0, 0, 2**32 - 1) for i in range(3)]
+    image = hand_image(
+        hand_page(1, 3, [], 5, 0, [], flags=0x64),  # index page: no rows, its link counts
+        hand_page(2, 9, b, 3, 0x1FFF, [0b111]),  # the small count holds; links past the end
+        hand_page(3, 2, a, 7, 20, [0xFFFF ^ 0b101, 0b1110], stride=32),  # the large count holds; rows 0, 2 and 16 are gone
+        hand_page(4, 4, b, 3, 3, [0b010]),
+        entries=[(7, 5, 4, 4), (0, 5, 1, 2)],
+    )
+    assert pages.image_rows(image) == [r for r in a if r[0] not in (0, 2, 16)] + b
+    assert pages.image_rows(image, 7) == [b[1]] and pages.image_rows(image, 9) == []
+    assert [i for i, _ in pages.chain(image)] == [1, 3, 2]
+
+
 @pytest.mark.parametrize("n", [0, 1, 16, 17, 154, 155, 400])
 def test_page_round_trip(n):
     data = [(i, 2**32 - 1 - i, i * 3, 7, i % 5, 0) for i in range(n)]
     image = pages.build_image(data)
-    assert [r for p in pages.chain(image) for r in pages.page_rows(p)] == data
-    assert len(image) == pages.PAGE_BYTES * max(1, -(-n // pages.PAGE_ROWS))
-
-
-def test_page_chain_guard_and_skip():
-    a, b = pages.build_page(0, 1, [(1,) * 6]), pages.build_page(1, 0, [(2,) * 6], flags=pages.SKIP)
-    loop = a + pages.build_page(1, 1, [(2,) * 6])
-    assert [len(pages.page_rows(p)) for p in pages.chain(a + b)] == [1, 0]
+    assert pages.image_rows(image) == data and len(image) == 4096 * (2 + -(-n // 154))
+    for m in (0, 3, 154, 200, 700):  # other rows in the same file, fewer and more of them
+        other = [(i, 1, i, 1, 1, 1) for i in range(m)]
+        again = pages.replace_rows(image, other)
+        table = pages.tables(again)[0]
+        assert pages.image_rows(again) == other and table["past"] == len(again) // 4096 >= len(image) // 4096
+        assert struct.unpack_from("<I", again, 12)[0] == table["past"] + 1 and struct.unpack_from("<I", again, 20)[0] == struct.unpack_from("<I", image, 20)[0] + 1
+        assert pages.image_rows(pages.replace_rows(again, data)) == data
+
+
+def test_replacing_leaves_other_tables():
+    b = [(100 + i, 0, 0, 0, 0, 1) for i in range(3)]
+    image = hand_image(hand_page(1, 2, b, 3, 3, [0b111]), hand_page(2, 3, b, 3, 3, [0b101]), entries=[(0, 3, 1, 1), (7, 3, 2, 2)])
+    more = [(i, 0, 0, 0, 0, 0) for i in range(300)]
+    again = pages.replace_rows(image, more)
+    assert pages.image_rows(again) == more and again[8192:12288] == image[8192:12288] and pages.image_rows(again, 7) == [b[0], b[2]]
+    assert pages.image_rows(pages.replace_rows(image, [])) == []
+
+
+def test_page_accounting_and_loops():
+    page = pages.build_page(5, 6, [(1,) * 6] * 20)
+    free, used = struct.unpack_from("<2H", page, 28)
+    assert used == 480 and free == 4096 - 40 - 480 - 36 - 12 and len(pages.build_page(1, 2, [(1,) * 6] * 154)) == 4096
+    b = [(1,) * 6]
+    loop = hand_image(hand_page(1, 2, b, 1, 1, [1]), hand_page(2, 1, b, 1, 1, [1]), entries=[(0, 3, 1, 9)])
     assert len(list(pages.chain(loop))) == 2
+    with pytest.raises(ValueError):
+        pages.build_page(1, 2, b * 155)
 
 
 def test_page_sources(spark, tmp_path):

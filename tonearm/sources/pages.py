@@ -1,8 +1,11 @@
-"""A paged binary table: fixed-size pages in a linked chain, rows of six little-endian u32, footers of presence groups.
-
-Page: header (number, next page or 0, rows, row end; u32 each), rows of 24 bytes from byte
-40, and from the page's end backwards one group per 16 rows: sixteen u16 row offsets and
-a u16 presence mask. A page whose flags (u32 at byte 16) hold 0x40 is skipped.
+"""A paged binary table file: numbered pages of fixed size, tables as linked chains of pages, rows of six little-endian u32.
+
+Page 0 is the file header: u32 number of tables at 8, next unused page at 12, sequence at
+20, and from 28 one entry of four u32 per table: type, first page past the end, first and
+last page of its chain. Every other page has 40 bytes of header (``_HEAD``), a heap of
+rows, and from its end backwards one group of 36 bytes per 16 rows: two unused bytes, a
+u16 mask of the rows present, sixteen u16 row offsets into the heap. A page whose flags
+hold ``SKIP`` (an index page) has no rows, but its link counts.
 """
 
 from __future__ import annotations
@@ -10,85 +13,165 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Page and row sizes, rows per page, skip flag, columns.
-PAGE_BYTES, HEADER_BYTES, ROW_BYTES, GROUP_ROWS, PAGE_ROWS, SKIP = 4096, 40, 24, 16, 154, 0x40
+# Sizes of page, header, row and group, rows per group and page, skip flag,
+# the large row count that means "not used", columns.
+PAGE_BYTES, HEADER_BYTES, ROW_BYTES, GROUP_BYTES, GROUP_ROWS, PAGE_ROWS, SKIP, NO_COUNT = 4096, 40, 24, 36, 16, 154, 0x40, 0x1FFF
 COLUMNS = ("created_low", "created_high", "partner_id", "owner_id", "like_rate", "flags")
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
-_GROUP_BYTES = 2 * GROUP_ROWS + 2
-
-
-def build_page(number: int, after: int, rows: Sequence[Sequence[int]], flags: int = 0) -> bytes:
-    """One page with at most ``PAGE_ROWS`` rows."""
-    if len(rows) > PAGE_ROWS:
-        raise ValueError(f"{len(rows)} rows do not fit a page")
+#: number, type, next page, stamp; small row count, flags, free and used bytes, large row count
+_HEAD = struct.Struct("<4x4I4xB2xB2H2xH4x")
+_FILE, _ENTRY = struct.Struct("<8x2I4xI"), struct.Struct("<4I")
+_TABLES = 28
+
+
+def _head(page: bytes) -> dict[str, int]:
+    return dict(zip(("number", "kind", "after", "stamp", "small", "flags", "free", "used", "large"), _HEAD.unpack_from(page)))
+
+
+def build_page(number: int, after: int, rows: Sequence[Sequence[int]], flags: int = 0, kind: int = 0, stamp: int = 0, like: bytes | None = None) -> bytes:
+    """One page with at most ``PAGE_ROWS`` rows; bytes of the header without a meaning here are those of the page ``like``."""
+    n = len(rows)
+    if n > PAGE_ROWS:
+        raise ValueError(f"{n} rows do not fit a page")
+    heap = np.asarray(rows, "<u4").reshape(n, len(COLUMNS)).tobytes()
+    groups = -(-n // GROUP_ROWS)
+    index = np.zeros((groups, GROUP_BYTES // 2), "<u2")  # words of a group, counted from its end
+    place = np.arange(n)
+    index[place // GROUP_ROWS, 2 + place % GROUP_ROWS] = place * ROW_BYTES
+    np.bitwise_or.at(index[:, 1], place // GROUP_ROWS, (1 << place % GROUP_ROWS).astype("<u2"))
+    # a group that is not full counts its mask and the offsets it uses
+    taken = GROUP_BYTES * (n // GROUP_ROWS) + (4 + 2 * (n % GROUP_ROWS) if n % GROUP_ROWS else 0)
+    free = PAGE_BYTES - HEADER_BYTES - len(heap) - taken
     page = bytearray(PAGE_BYTES)
-    struct.pack_into("<5I", page, 0, number, after, len(rows), HEADER_BYTES + ROW_BYTES * len(rows), flags)
-    for i, row in enumerate(rows):
-        struct.pack_into("<6I", page, HEADER_BYTES + ROW_BYTES * i, *row)
-    # presence of all groups: one bit per row, least first, two bytes per group
-    at = PAGE_BYTES - 2 * -(-len(rows) // GROUP_ROWS)
-    for g in range(0, len(rows), GROUP_ROWS):
-        struct.pack_into("<H", page, at + 2 * (g // GROUP_ROWS), (1 << min(GROUP_ROWS, len(rows) - g)) - 1)
+    if like is not None:
+        page[:HEADER_BYTES] = like[:HEADER_BYTES]
+    fields = ((4, "4I", (number, kind, after, stamp)), (24, "B", (n,)), (27, "B", (flags,)), (28, "2H", (free, len(heap))), (34, "H", (n,)))
+    for at, layout, values in fields:
+        struct.pack_into("<" + layout, page, at, *values)
+    page[HEADER_BYTES : HEADER_BYTES + len(heap)] = heap
+    if groups:
+        page[PAGE_BYTES - GROUP_BYTES * groups :] = index.reshape(-1)[::-1].astype("<u2").tobytes()
     return bytes(page)
 
 
 def page_rows(page: bytes) -> list[tuple[int, ...]]:
-    """Rows that are present; none of a skipped page."""
-    _, _, n, _, flags = struct.unpack_from("<5I", page, 0)
-    if flags & SKIP:
+    """Rows that are present, in the order of the index; none of a skipped page."""
+    h = _head(page)
+    n = h["large"] if h["small"] < h["large"] != NO_COUNT else h["small"]
+    if h["flags"] & SKIP or not n:
         return []
-    at = PAGE_BYTES - 2 * -(-n // GROUP_ROWS)
-    masks = struct.unpack_from(f"<{-(-n // GROUP_ROWS)}H", page, at)
-    return [struct.unpack_from("<6I", page, HEADER_BYTES + ROW_BYTES * i) for i in range(n) if masks[i // GROUP_ROWS] >> i % GROUP_ROWS & 1]
-
+    groups = -(-n // GROUP_ROWS)
+    words = np.frombuffer(page, "<u2")[::-1][: groups * GROUP_BYTES // 2].reshape(groups, -1)
+    present = (words[:, 1:2] >> np.arange(GROUP_ROWS, dtype="<u2") & 1).astype(bool).reshape(-1)[:n]
+    starts = HEADER_BYTES + words[:, 2:].reshape(-1)[:n][present].astype(np.int64)
+    cells = np.frombuffer(page, np.uint8)[starts[:, None] + np.arange(ROW_BYTES)]
+    return [tuple(r) for r in np.ascontiguousarray(cells).view("<u4").tolist()]
 
-def chain(image: bytes, first: int = 0) -> Iterator[bytes]:
-    """Pages from ``first`` on as they are linked; a page met again ends the chain."""
-    seen, at = set(), first
-    while at not in seen and (at + 1) * PAGE_BYTES <= len(image):
-        seen.add(at)
-        page = image[at * PAGE_BYTES : (at + 1) * PAGE_BYTES]
-        yield page
-        after = struct.unpack_from("<I", page, 4)[0]
-        if not after:
-            return
-        at = after
 
+def tables(image: bytes) -> list[dict[str, int]]:
+    """(type, past, first, last) of each table of the file."""
+    count = _FILE.unpack_from(image)[0]
+    return [dict(zip(("type", "past", "first", "last"), _ENTRY.unpack_from(image, _TABLES + _ENTRY.size * t))) for t in range(count)]
 
-def build_image(rows: Sequence[Sequence[int]]) -> bytes:
-    parts = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)] or [[]]
-    return b"".join(build_page(k, k + 1 if k + 1 < len(parts) else 0, p) for k, p in enumerate(parts))
 
+def chain(image: bytes, kind: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(number, page) of a table in the order of its links.
 
-def read_images(files: DataFrame) -> DataFrame:
-    """Rows of all images in a ``binaryFile`` DataFrame."""
+    It ends after the table's last page, at link 0, past the end of the file, and at a page met before.
+    """
+    table = next((t for t in tables(image) if t["type"] == kind), None)
+    at, seen = table["first"] if table else 0, set()
+    while at and at not in seen and (at + 1) * PAGE_BYTES <= len(image):
+        seen.add(at)
+        page = image[at * PAGE_BYTES : (at + 1) * PAGE_BYTES]
+        yield at, page
+        at = 0 if at == table["last"] else _head(page)["after"]
+
+
+def image_rows(image: bytes, kind: int = 0) -> list[tuple[int, ...]]:
+    """All rows of a table."""
+    return [r for _, page in chain(image, kind) for r in page_rows(page)]
+
+
+def empty_image(kind: int = 0) -> bytes:
+    """A file of one table that has an index page and no rows."""
+    header = bytearray(PAGE_BYTES)
+    _put_header(header, used=2, sequence=1, count=1)
+    _ENTRY.pack_into(header, _TABLES, kind, 2, 1, 1)
+    return bytes(header) + build_page(1, 2, [], SKIP, kind)
+
+
+def _put_header(image: bytearray, used: int, sequence: int, count: int) -> None:
+    struct.pack_into("<2I", image, 8, count, used + 1)
+    struct.pack_into("<I", image, 20, sequence)
+
+
+def replace_rows(image: bytes, rows: Sequence[Sequence[int]], kind: int = 0) -> bytes:
+    """The file with ``rows`` as the table's rows; pages of other tables stay as they are.
+
+    Data pages of the table are used again, further ones are appended; the last one's link
+    is the first page past the end. Data pages that are no longer needed stay unlinked.
+    """
+    place = next((i for i, t in enumerate(tables(image)) if t["type"] == kind), None)
+    if place is None:
+        raise ValueError(f"no table of type {kind}")
+    pages = list(chain(image, kind))
+    heads = [(i, p) for i, p in pages if _head(p)["flags"] & SKIP]
+    data = [(i, p) for i, p in pages if not _head(p)["flags"] & SKIP]
+    count, _, sequence = _FILE.unpack_from(image)
+    parts = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    if not parts and not heads:
+        parts = [[]]
+    old = len(image) // PAGE_BYTES
+    numbers = [i for i, _ in data][: len(parts)]
+    numbers += range(old, old + len(parts) - len(numbers))
+    used = max(old, numbers[-1] + 1 if numbers else 0)
+    out = bytearray(image) + bytes(PAGE_BYTES * (used - old))
+    for number, after, part in zip(numbers, [*numbers[1:], used], parts):
+        out[number * PAGE_BYTES : (number + 1) * PAGE_BYTES] = build_page(number, after, part, 0, kind, sequence + 1, data[0][1] if data else None)
+    chained = [i for i, _ in heads] + numbers
+    if heads:
+        struct.pack_into("<I", out, heads[-1][0] * PAGE_BYTES + 12, numbers[0] if numbers else used)
+    _ENTRY.pack_into(out, _TABLES + _ENTRY.size * place, kind, used, chained[0], chained[-1])
+    _put_header(out, used, sequence + 1, count)
+    return bytes(out)
+
+
+def build_image(rows: Sequence[Sequence[int]], kind: int = 0) -> bytes:
+    return replace_rows(empty_image(kind), rows, kind)
+
+
+def read_images(files: DataFrame, kind: int = 0) -> DataFrame:
+    """Rows of a table of all files in a ``binaryFile`` DataFrame."""
 
     def run(frames):
         import pandas as pd
 
         for f in frames:
-            yield pd.DataFrame([r for image in f["content"] for p in chain(bytes(image)) for r in page_rows(p)], columns=list(COLUMNS), dtype="int64")
+            for image in f["content"]:
+                yield pd.DataFrame(image_rows(bytes(image), kind), columns=list(COLUMNS), dtype="int64")
 
     return files.select("content").mapInPandas(run, SCHEMA)
 
 
-def image_pages(rows: DataFrame, order: str) -> DataFrame:
-    """(page, bytes): pages built where their rows meet; ``rows`` are numbered from 1 in ``order``."""
-    from pyspark.sql import functions as F
+def image_pages(rows: DataFrame, order: str, first: int = 2) -> DataFrame:
+    """(page, bytes): the data pages of an image, each built where its rows meet; ``rows`` are numbered from 1 in ``order``.
 
-    last = rows.agg(F.max(order)).first()[0] or 0
-    pages = -(-last // PAGE_ROWS)
+    ``first`` is the number of the first data page, ``page`` counts from 0.
+    """
 
     def build(key, group):
         import pandas as pd
 
         group = group.sort_values(order)
-        number = int(key[0])
-        page = build_page(number, number + 1 if number + 1 < pages else 0, group[list(COLUMNS)].astype("int64").values.tolist())
-        return pd.DataFrame({"page": [number], "bytes": [page]})
+        number = first + int(key[0])
+        page = build_page(number, number + 1, group[list(COLUMNS)].astype("int64").values.tolist())
+        return pd.DataFrame({"page": [int(key[0])], "bytes": [page]})
 
     return rows.withColumn("page", F.floor((F.col(order) - 1) / PAGE_ROWS)).groupBy("page").applyInPandas(build, "page long, bytes binary")
 
@@ -101,15 +184,14 @@ class _File(InputPartition):
 class PageReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.kind = int(options.get("table", 0))
 
     def partitions(self):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            image = f.read()
-        for page in chain(image):
-            yield from page_rows(page)
+            yield from image_rows(f.read(), self.kind)
 
 
 class PagedTable(DataSource):
