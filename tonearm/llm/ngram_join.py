@@ -28,6 +28,7 @@ key does); rows repeated are members of one class; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ PER_DIM, FINEST = 8, 1 << 14
 FIRST_FILES = 2
 #: Parts in which pairs are verified.
 SLICES = 2
+#: Parts in which files are dealt and asked, by a bit of the shingle's hash; a power of two.
+FILE_SLICES = 2
 #: Counters of the table that orders shingles, as bits.
 SLOT_BITS = 18
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -277,12 +280,14 @@ def ngram_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
     return members, classes
 
 
-def _filed(classes: DataFrame, first: int | None = None) -> DataFrame:
-    """(file, node, component) for all filing shingles of each class, or the ``first`` ones."""
+def _filed(classes: DataFrame, first: int | None = None, part: int | None = None) -> DataFrame:
+    """(file, node, component) for all filing shingles of each class, or the ``first`` ones; with ``part`` only its files."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         for b in batches:
             raws = [np.frombuffer(r, "<i8")[:first] for r in b.column(2).to_pylist()]
+            if part is not None:
+                raws = [x[x & (FILE_SLICES - 1) == part] for x in raws]
             sizes = [len(r) for r in raws]
             for at in range(0, len(raws), 2000):
                 some = slice(at, at + 2000)
@@ -404,11 +409,6 @@ def _texts(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, nod
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, saved.
 
@@ -460,20 +460,27 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     points = classes.select("node", "point")
     labels = save(classes.select("node", F.col("node").alias("component")), "labels")
     tested: list[DataFrame] = []
-    filed = None
+    filed: list[DataFrame] = []
     for step in range(3):
-        if step < 2:
-            named = classes.select("node", "prefix").join(labels, "node")
-            rows = save(_open_files(_filed(named, FIRST_FILES if step == 0 else None)), "filed")
-        else:
-            rows = save(_open_files(filed.drop("component").join(labels, "node").select("file", "node", "component")), "filed")
-        if filed is not None:
-            drop(filed)
-        filed = rows
-        pairs = (_one_partner if step < 2 else _all_partners)(_distinct_files(filed), points, percent)
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
+        # files are taken in parts, one written after another, so disk holds one part's rows and points at a time
+        dealt = []
+        for part in range(FILE_SLICES):
+            if step < 2:
+                named = classes.select("node", "prefix").join(labels, "node")
+                rows = _filed(named, FIRST_FILES if step == 0 else None, part)
+            else:
+                rows = filed[part].drop("component").join(labels, "node").select("file", "node", "component")
+            dealt.append(save(_open_files(rows), "filed"))
+        drop(*filed)
+        filed = dealt
+        found = []
+        for rows in filed:
+            pairs = (_one_partner if step < 2 else _all_partners)(_distinct_files(rows), points, percent)
+            for before in tested:
+                pairs = pairs.join(before, ["a", "b"], "left_anti")
+            found.append(save(pairs, "pairs"))
+        pairs = save(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+        drop(*found)
         tested.append(pairs)
         if pairs.isEmpty():
             continue
@@ -483,7 +490,7 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
         now = _relabelled(labels, links)
         drop(texts, links, labels)
         labels = now
-    drop(filed, *tested)
+    drop(*filed, *tested)
     named = classes.select("node", "set_id", "rep").join(labels, "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     component = named.join(least, "component").select("set_id", "least")
