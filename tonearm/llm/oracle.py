@@ -80,3 +80,82 @@ from d join (select source, lang, topic, case when tokens > 0 then least(1.0::do
 
 
 ORACLE["op4_mixing"] = _mixing_sql()
+
+ORACLE["op11_prefix_trie"] = """
+with o as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos,
+    sha256(coalesce(role, '')) || sha256(coalesce(text, '')) as said, strlen(coalesce(text, ''))::bigint as bytes
+  from conversations where conv_id is not null
+), crc as (
+  select c, n, c - c % 5 as b,
+    xor(list_reduce([4294967295] || list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i::bigint, 1))::bigint),
+      lambda acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 9 as h
+  from (select c, count(*) as n from o group by c)
+), ids as (
+  select crc.*, least(crc.h, coalesce(base.n, 0)) as k from crc left join (select c as b, n from crc) base using (b)
+), r as (
+  select ids.c, pos, said, bytes from ids join o on o.c = ids.b where pos <= k
+  union all select ids.c, pos - h + k, said, bytes from ids join o using (c) where pos > h
+), p as materialized (
+  select c, pos as d, sha256(string_agg(said, '') over (partition by c order by pos)) as key, lag(c) over (partition by c order by pos) as x, bytes from r
+  union all select c, 0, 'root', null, 0 from ids
+), l as (
+  select c, max(d) as n from p group by c
+), node as (
+  select key, d, min(c) as c, count(*) as n, any_value(bytes) as bytes from p group by key, d
+), parent as (
+  select distinct a.key, b.key as above from p a join p b on a.c = b.c and a.d = b.d + 1
+), kids as (
+  select above as key, count(*) as kids from parent group by above
+), below as (
+  select distinct a.key, b.key as under from p a join p b on a.c = b.c and b.d >= a.d
+), folded as (
+  select below.key, count(*) filter (kids is null) as leaves, sum((n - 1) * bytes)::bigint as saved
+  from below join node on node.key = under left join kids on kids.key = under group by below.key
+), ends as (
+  select key, string_agg(p.c::varchar, ',' order by p.c) as ids from p join l on l.c = p.c and l.n = p.d group by key
+)
+select node.c as conv_id, node.d as depth, up.c as parent_conv_id, node.n as n_convs, coalesce(kids, 0) as n_children,
+  leaves as n_leaves, saved as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from node join folded using (key) left join kids using (key) left join ends using (key)
+  left join parent using (key) left join node up on up.key = above
+"""
+
+ORACLE["op12_filter_audit"] = """
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents
+), f as (
+  select part, doc_id,
+    (length(words) < 200)::int + 2 * (100 * length(list_distinct(words)) < 50 * length(words))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(first_id < doc_id or (doc_id is null and first_id is not null), false)::int as mask
+  from d
+), marks as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), cell as materialized (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join marks using (doc_id) group by part, mask
+), filter as (
+  select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(name, bit)
+), orders as (
+  select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from filter a, filter b, filter c, filter d, filter e where a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::bigint as gone from orders, range(1, 6) s(step)
+), counted as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & (gone | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & gone > 0 and mask & bit > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as toxic_lost
+  from cell, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from counted
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, exact_dedup, langid, mixing, ngram_join, packing, quality, token_rans, url_filter
+from . import chat, embed_dedup, exact_dedup, filter_audit, langid, mixing, ngram_join, packing, prefix_trie, quality, token_rans, toxicity, url_filter
 from .shared import table
 
 #: Rules of the url query (host, path, verdict).
@@ -66,7 +66,21 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), heads, conv - conv % 5, most=8)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_language_id, op3_quality, op4_mixing, op5_packing, op6_ngram_jaccard, op7_chat_formatting, op8_near_vectors, op9_exact_dedup, op10_token_rans)
+    for f in (op1_url_filters, op2_language_id, op3_quality, op4_mixing, op5_packing, op6_ngram_jaccard, op7_chat_formatting, op8_near_vectors, op9_exact_dedup, op10_token_rans, op11_prefix_trie, op12_filter_audit, op13_toxicity)
 }
