@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import clusters, enrich, scale, signal, store, tags, tree, vectors
+from tonearm.operators import angular, clusters, enrich, scale, signal, store, tags, tree, vectors
 from tonearm.plans.runner import Runner, Step
 from tonearm.sources import pages, registry
 from tonearm.streaming import ingest
@@ -117,7 +117,7 @@ def test_pairs_against_numpy(spark):
     x = rng.standard_normal((70, 6))
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {(r.a, r.b): r.sim for r in vectors.similar_pairs(df, "id", "v", 0.5, rows=16).collect()}
+    got = {(r.a, r.b): r.sim for r in angular.similar_pairs(df, "id", "v", 0.5, rows=16).collect()}
     s = x @ x.T
     assert set(got) == {(i, j) for i in range(70) for j in range(i + 1, 70) if s[i, j] >= 0.5}
     assert all(abs(v - s[k]) < 1e-12 for k, v in got.items())

@@ -1,22 +1,14 @@
-"""Vectors: normalising, dot products, top-k, thresholded pairs, nearest centroid, directions.
+"""Vectors: normalising, dot products, partners per vector, nearest centroid, directions.
 
-Pair operators tile one side against the other with matrix products. A tile's other side
-is read by every task, so it is broadcast only up to ``TILE_ROWS`` rows and otherwise
-met block by block.
+Pairs above a threshold and nearest neighbours are in ``angular``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of one block of a tiled product.
-TILE_ROWS = 2048
 #: Numbers in all centroids together that may be sent to every task (64 MB).
 MOST_CENTROIDS = 8_000_000
 
@@ -36,48 +28,6 @@ def unit(a: Column, epsilon: float = 1e-9) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def blocks(vectors: DataFrame, key: str, vector: str, rows: int = TILE_ROWS) -> DataFrame:
-    """(block, keys, flat): vectors gathered into blocks of about ``rows`` by a hash of the key.
-
-    The number of blocks follows a count, so a block's size is bounded in expectation.
-    """
-    n = max(1, -(-vectors.count() // rows))
-    v = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    g = v.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return g.select("block", F.col("m.k").alias("keys"), F.flatten(F.col("m.v")).alias("flat"), F.size(F.col("m.k")).alias("n"))
-
-
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b, sim) for a < b with dot product >= threshold, by block products.
-
-    Every pair of blocks is one product: work is quadratic by nature, spread evenly over
-    tasks, and each task holds two blocks. Use an equi-key beforehand where the caller has one.
-    """
-    b = blocks(vectors, key, vector, rows)
-    left = b.select(F.col("block").alias("i"), F.col("keys").alias("ka"), F.col("flat").alias("fa"), F.col("n").alias("na"))
-    right = b.select(F.col("block").alias("j"), F.col("keys").alias("kb"), F.col("flat").alias("fb"), F.col("n").alias("nb"))
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                i, ka, fa, na, j, kb, fb, nb = (batch.column(c)[row] for c in range(8))
-                x = np.asarray(fa.values, np.float64).reshape(na.as_py(), -1)
-                y = np.asarray(fb.values, np.float64).reshape(nb.as_py(), -1)
-                s = x @ y.T
-                p, q = np.nonzero(np.triu(s >= threshold, 1) if i == j else s >= threshold)
-                a, c = ka.values.take(pa.array(p)), kb.values.take(pa.array(q))
-                swap = pa.compute.greater(a, c)
-                low, high = pa.compute.if_else(swap, c, a), pa.compute.if_else(swap, a, c)
-                yield pa.RecordBatch.from_arrays([low, high, pa.array(s[p, q])], ["a", "b", "sim"])
-
-    # each left block names the right blocks it meets: an equi-join, which Spark broadcasts by size only
-    last = b.agg(F.max("block").alias("last"))  # one row
-    met = left.crossJoin(last).withColumn("j", F.explode(F.sequence("i", "last"))).drop("last")
-    tiles = met.join(right, "j").select("i", "ka", "fa", "na", "j", "kb", "fb", "nb").repartition("i", "j")
-    return tiles.mapInArrow(product, f"a {kind}, b {kind}, sim double")
-
-
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Directed (i, j, sim) of undirected (a, b, sim)."""
     return pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "sim").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "sim"))
@@ -104,17 +54,6 @@ def degree_report(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return row.select("nodes", "matched", F.floor("m").alias("median_degree"), F.floor("p").alias("p90_degree"), "max_degree", (F.col("ends") / 2).cast("long").alias("pairs"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(q, key, sim, rank): the k nearest other vectors of each of few queries; equal similarities go to the lesser key.
-
-    Queries are broadcast (the caller states them); each task ranks its own rows first.
-    """
-    q = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("__q")))
-    sims = vectors.join(q, F.col(key) != F.col("q")).select("q", key, dot(F.col(vector), F.col("__q")).alias("sim"))
-    w = W.partitionBy("q").orderBy(F.col("sim").desc(), key)
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, floor: float | None = None) -> DataFrame:
     """(key, cluster, sim): the centroid with the largest dot product (the lesser cluster of equals), null below ``floor``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import harmony, tempo
-from tonearm.operators import clusters, export, scale, store, vectors
+from tonearm.operators import angular, clusters, durable, export, scale, store, vectors
 from tonearm.sources import pages
 from tonearm.sources.views import GENRES, VECTORS_SQL
 from tonearm.sources.views import table
@@ -37,10 +37,10 @@ def matching(spark, sf_dir, threshold=TAU, top=TOP, tolerance=0.08):
     v = vector_view(spark, sf_dir)
     facts = v.select("vec_id", "bpm", "name", harmony.wheel_number(F.col("key")).alias("kn"), harmony.wheel_letter(F.col("key")).alias("kl"))
     side = lambda s: facts.select(*[F.col(c).alias("i" if c == "vec_id" and s == "i" else "j" if c == "vec_id" else f"{c}_{s}") for c in facts.columns])
-    near = vectors.both_ways(vectors.similar_pairs(v, "vec_id", "vec", threshold).where("sim < 0.997"))
+    near = vectors.both_ways(angular.similar_pairs(v, "vec_id", "vec", threshold).where("sim < 0.997"))
     d = near.join(side("i"), "i").join(side("j"), "j").where(F.col("name_i") != F.col("name_j")).where(tempo.tempo_fits(F.col("bpm_i"), F.col("bpm_j"), tolerance))
     bonus = F.when(harmony.keys_fit(F.col("kn_i"), F.col("kl_i"), F.col("kn_j"), F.col("kl_j")), KEY_BONUS).otherwise(0.0)
-    return vectors.undirected(vectors.top_partners(d.withColumn("score", F.col("sim") + bonus), top, "score", "name_j"))
+    return durable.written(vectors.undirected(vectors.top_partners(d.withColumn("score", F.col("sim") + bonus), top, "score", "name_j")))
 
 
 @query(f"with {_PAIRS} select a, b, round(sim, 4) as sim from pairs")
@@ -148,7 +148,7 @@ def _queries(spark, sf_dir):
 
 @query(f"{_KNN} select q, vec_id, round(sim, 4) as sim, rank from r where rank <= 10")
 def knn_topk(spark, sf_dir):
-    near = vectors.nearest(_queries(spark, sf_dir), vector_view(spark, sf_dir), "vec_id", "vec", 10)
+    near = angular.nearest(_queries(spark, sf_dir), vector_view(spark, sf_dir), "vec_id", "vec", 10)
     return near.select("q", "vec_id", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -156,9 +156,9 @@ def knn_topk(spark, sf_dir):
 def knn_harmonic(spark, sf_dir):
     """The five nearest that fit in key and tempo, out of the 200 nearest; there may be fewer."""
     v = vector_view(spark, sf_dir)
-    near = vectors.nearest(_queries(spark, sf_dir), v, "vec_id", "vec", 200)
+    near = angular.nearest(_queries(spark, sf_dir), v, "vec_id", "vec", 200)
     facts = v.select("vec_id", "bpm", harmony.wheel_number(F.col("key")).alias("n"), harmony.wheel_letter(F.col("key")).alias("l"))
-    both = near.join(facts, "vec_id").join(F.broadcast(facts.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("bpm").alias("qb"), F.col("n").alias("qn"), F.col("l").alias("ql"))), "q")
+    both = near.join(facts, "vec_id").join(facts.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("bpm").alias("qb"), F.col("n").alias("qn"), F.col("l").alias("ql")), "q")
     fit = both.where(tempo.tempo_fits(F.col("qb"), F.col("bpm"), 0.06) & harmony.keys_fit(F.col("qn"), F.col("ql"), F.col("n"), F.col("l")))
     return fit.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("rank")).cast("long")).where("place <= 5").select("q", "vec_id", F.round("sim", 4).alias("sim"), "place")
 
@@ -316,7 +316,7 @@ def map_projection(spark, sf_dir):
 def knn_vote(spark, sf_dir):
     """The commonest label among the ten nearest of each query: what gives noise points a cluster."""
     v = vector_view(spark, sf_dir)
-    near = vectors.nearest(_queries(spark, sf_dir), v, "vec_id", "vec", 10).join(v.select("vec_id", "label"), "vec_id")
+    near = angular.nearest(_queries(spark, sf_dir), v, "vec_id", "vec", 10).join(v.select("vec_id", "label"), "vec_id")
     votes = near.groupBy("q", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("q").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"), F.max("n").alias("votes"))
 
@@ -325,7 +325,7 @@ def knn_vote(spark, sf_dir):
 def neighbour_smoothness(spark, sf_dir):
     v = vector_view(spark, sf_dir)
     b = v.select("vec_id", "bpm")
-    p = vectors.similar_pairs(v, "vec_id", "vec", TAU).join(b.select(F.col("vec_id").alias("a"), F.col("bpm").alias("x")), "a").join(b.select(F.col("vec_id").alias("b"), F.col("bpm").alias("y")), "b")
+    p = angular.similar_pairs(v, "vec_id", "vec", TAU).join(b.select(F.col("vec_id").alias("a"), F.col("bpm").alias("x")), "a").join(b.select(F.col("vec_id").alias("b"), F.col("bpm").alias("y")), "b")
     return p.agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("mean_gap"))
 
 
@@ -333,8 +333,8 @@ def neighbour_smoothness(spark, sf_dir):
 def map_neighbour_card(spark, sf_dir):
     """Query, neighbour, and the card's facts of both."""
     v = vector_view(spark, sf_dir).select("vec_id", "vec", "bpm", "key", "label", F.element_at(F.array(*[F.lit(g) for g in GENRES]), (F.col("vec_id") % len(GENRES) + 1).cast("int")).alias("genre"))
-    near = vectors.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", "vec", 5)
+    near = angular.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", "vec", 5)
     facts = v.drop("vec")
-    return near.join(facts, "vec_id").join(F.broadcast(facts.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("bpm").alias("q_bpm"), F.col("key").alias("q_key"))), "q")
+    return near.join(facts, "vec_id").join(facts.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("bpm").alias("q_bpm"), F.col("key").alias("q_key")), "q")
 
 
