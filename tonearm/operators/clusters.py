@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import rules
 
+from . import durable
 from .vectors import mean_vectors, nearest_centroid
 
 #: Default number of clusters and of rounds.
@@ -83,37 +85,56 @@ def band_leaves(bands: DataFrame, least: int = 8) -> DataFrame:
     return rows.select("folder", done.alias("d")).select("folder", last.alias("last"), F.explode("d.out").alias("o")).select("folder", "o.band", F.least("o.leaf", "last").alias("leaf"))
 
 
+def place_in_folder(members: DataFrame) -> DataFrame:
+    """(folder, track, bpm, pos, cum), written: place of each member by tempo, and the sum of tempos up to it.
+
+    Members lie in range partitions of (folder, tempo, track); a folder that lies in several
+    gets what the earlier ones hold added, so no folder is one task.
+    """
+    order = [F.col("folder"), F.col("bpm"), F.col("track")]
+    placed = durable.written(members.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    inside = W.partitionBy("part", "folder").orderBy("bpm", "track").rowsBetween(W.unboundedPreceding, 0)
+    held = placed.groupBy("part", "folder").agg(F.count("*").alias("n"), F.sum("bpm").alias("s"))
+    earlier = W.partitionBy("folder").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = held.select("part", "folder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s"))
+    own = placed.select(*order, "part", F.count("*").over(inside).alias("own_n"), F.sum("bpm").over(inside).alias("own_s"))
+    out = durable.written(own.join(before, ["part", "folder"]).select(*order, (F.col("own_n") + F.col("n")).alias("pos"), (F.col("own_s") + F.col("s")).alias("cum")))
+    durable.drop(placed)
+    return out
+
+
 def tempo_segments(members: DataFrame, tolerance: float = 0.08) -> DataFrame:
     """(folder, track, leaf, name): members in order of tempo, cut where one of a leaf would leave the mean's tolerance.
 
     A member joins while every member, with it, lies within ``tolerance`` of the new mean.
-    The order makes this sequential: one folder is one group.
+    With places and running sums, whether a member fails a leaf that starts at a given
+    place follows from the member's own row; the first that fails starts the next leaf. So
+    a round finds one cut of every folder by a minimum with partial sums, and a folder of
+    any size spreads over tasks. A leaf's least tempo exceeds that of the one before by
+    more than ``tolerance``, which bounds rounds by the logarithm of the range of tempos.
     """
-
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["bpm", "track"], kind="stable")
-        leaf, lo, total, n, out = 0, 0.0, 0.0, 0, []
-        sums: list[tuple[float, int]] = []
-        for b in group["bpm"]:
-            mean = (total + b) / (n + 1)
-            # sorted members: the ends are the farthest from the mean
-            if n and ((mean - lo) / mean > tolerance or (b - mean) / mean > tolerance):
-                sums.append((total, n))
-                leaf, n, total = leaf + 1, 0, 0.0
-            if not n:
-                lo = b
-            total, n = total + b, n + 1
-            out.append(leaf)
-        sums.append((total, n))
-        names, seen = [], {}
-        for t, c in sums:
-            name = f"{round(t / c)}bpm"
-            seen[name] = seen.get(name, 0) + 1
-            names.append(name if seen[name] == 1 else f"{name}-{seen[name]}")
-        return pd.DataFrame({"folder": group["folder"], "track": group["track"], "leaf": out, "name": [names[k] for k in out]})
-
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
-    known = members.where("bpm is not null and bpm <> 0").select("folder", "track", "bpm")
-    found = known.groupBy("folder").applyInPandas(cut, f"folder {kinds['folder']}, track {kinds['track']}, leaf int, name string")
+    placed = place_in_folder(members.where("bpm is not null and bpm <> 0").select("folder", "track", F.col("bpm").cast("double").alias("bpm")))
+    now = durable.written(placed.where("pos = 1").select("folder", F.lit(0).alias("leaf"), F.col("pos").alias("start"), F.lit(0.0).alias("before"), F.col("bpm").alias("low")))
+    starts = [now]
+    while not now.isEmpty():
+        mean = (F.col("cum") - F.col("before")) / (F.col("pos") - F.col("start") + 1)
+        # sorted members: the ends are the farthest from the mean
+        failing = placed.join(now, "folder").where(F.col("pos") > F.col("start")).withColumn("mean", mean).where(((F.col("mean") - F.col("low")) / F.col("mean") > tolerance) | ((F.col("bpm") - F.col("mean")) / F.col("mean") > tolerance))
+        cut = F.struct((F.col("leaf") + 1).alias("leaf"), F.col("pos").alias("start"), (F.col("cum") - F.col("bpm")).alias("before"), F.col("bpm").alias("low"))
+        now = durable.written(failing.groupBy("folder").agg(F.min_by(cut, "pos").alias("cut")).select("folder", "cut.*"))
+        starts.append(now)
+    leaves = reduce(DataFrame.unionByName, starts)
+    totals = placed.groupBy("folder").agg(F.max("pos").alias("n"), F.max_by("cum", "pos").alias("total"))
+    by_leaf = W.partitionBy("folder").orderBy("leaf")
+    sizes = leaves.join(totals, "folder").select("folder", "leaf", "start", (F.coalesce(F.lead("before").over(by_leaf), "total") - F.col("before")).alias("s"), (F.coalesce(F.lead("start").over(by_leaf), F.col("n") + 1) - F.col("start")).alias("n"))
+    plain = F.concat(F.bround(F.col("s") / F.col("n")).cast("long").cast("string"), F.lit("bpm"))
+    seen = F.row_number().over(W.partitionBy("folder", "plain").orderBy("leaf"))
+    named = sizes.withColumn("plain", plain).withColumn("seen", seen).withColumn("name", F.when(F.col("seen") == 1, F.col("plain")).otherwise(F.concat_ws("-", "plain", F.col("seen").cast("string"))))
+    # the few leaves of a folder as one array, in order
+    lists = durable.written(named.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("start", "name"))).alias("leaves")))
+    durable.drop(*starts)
+    leaf = F.size(F.filter("leaves", lambda x: x["start"] <= F.col("pos"))) - 1
+    found = placed.join(lists, "folder").select("folder", "track", leaf.alias("leaf"), F.col("leaves")[leaf]["name"].alias("name"))
     rest = members.where("bpm is null or bpm = 0").select("folder", "track", F.lit(None).cast("int").alias("leaf"), F.lit("unknown-bpm").alias("name"))
-    return found.unionByName(rest)
+    return found.unionByName(rest).select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("folder", "track")], "leaf", "name")
