@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import angular, clusters
+from tonearm.operators import angular, clusters, ridge
+from tonearm.plans import catalogue
+from tonearm.sources.views import vectors
 
 
 def blobs(rng, centres, n, spread, d=16):
@@ -94,3 +96,52 @@ def test_places_of_a_folder_in_several_partitions(spark):
     assert [r.pos for r in placed] == list(range(1, 1001))
     assert [(r.bpm, r.track) for r in placed] == sorted((r.bpm, r.track) for r in placed)
     assert [r.cum for r in placed] == np.cumsum([r.bpm for r in placed]).tolist()
+
+
+def plain_ridge(x, y, alpha=1.0):
+    mx, my = x.mean(axis=0), y.mean()
+    w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    return my - mx @ w, w
+
+
+def target_table(spark, sf_dir):
+    rows = sorted((r.vec_id, r.label, r.vec) for r in vectors(spark, sf_dir).collect())
+    ids, label, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    return ids, label, x, label + 3 * x[:, 0]
+
+
+def test_ridge_queries_against_one_fit_each(spark, sf_dir):
+    ids, label, x, y = target_table(spark, sf_dir)
+    _, w = plain_ridge(x[ids % 5 != 0], y[ids % 5 != 0])
+    got = {r.pos: r.weight for r in catalogue.QUERIES["ridge_direction"](spark, sf_dir).collect()}
+    assert np.allclose([got[i] for i in range(64)], w / np.linalg.norm(w), atol=1e-9)
+    got = {r.label: (r.n, r.error) for r in catalogue.QUERIES["leave_one_group_out"](spark, sf_dir).collect()}
+    for g in set(label):
+        b, w = plain_ridge(x[label != g], y[label != g])
+        assert got[g][0] == (label == g).sum() and abs(got[g][1] - np.abs(b + x[label == g] @ w - y[label == g]).mean()) < 1e-9
+    assert len(got) == len(set(label))
+    b, w = plain_ridge(x[ids % 4 != 0], y[ids % 4 != 0])
+    got = {r.vec_id: r.score for r in catalogue.QUERIES["impute_from_embedding"](spark, sf_dir).collect()}
+    assert np.allclose([got[i] for i in ids], np.where(ids % 4 != 0, y, b + x @ w), atol=1e-9)
+    b, w = plain_ridge(x[ids % 5 != 0], y[ids % 5 != 0])
+    order = lambda a: np.array([(a < v).sum() + ((a == v).sum() + 1) / 2 for v in a])
+    rho = catalogue.QUERIES["spearman_heldout"](spark, sf_dir).first().rho
+    assert abs(rho - np.corrcoef(order(b + x[ids % 5 == 0] @ w), order(y[ids % 5 == 0]))[0, 1]) < 1e-9
+
+
+def test_moments_of_many_groups_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(ridge, "HELD", 3)
+    rng = np.random.default_rng(4)
+    x, y, g = rng.normal(size=(200, 3)), rng.normal(size=200), rng.integers(0, 20, 200)
+    rows = [(f"g{k}" if k else None, v.tolist(), float(t)) for k, v, t in zip(g, x, y)] + [("g1", None, 1.0), ("g2", [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "g string, v array<double>, y double").repartition(3)
+    got = {r.group: r for r in ridge.fits_without(df, "v", "y", F.col("g")).collect()}
+    assert len(got) == len(set(g))
+    for k in set(g):
+        b, w = plain_ridge(x[g != k], y[g != k])
+        r = got[f"g{k}" if k else None]
+        assert abs(r.offset - b) < 1e-9 and np.allclose(r.direction, w, atol=1e-9)
+    lone = ridge.fits_without(df.where("g = 'g1'"), "v", "y", F.col("g")).collect()
+    assert [(r.offset, r.direction) for r in lone] == [(0.0, [0.0] * 3)]
+    with pytest.raises(ValueError):
+        ridge.fit(df.limit(0), "v", "y")

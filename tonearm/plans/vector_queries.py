@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import harmony, tempo
-from tonearm.operators import angular, clusters, durable, export, scale, store, vectors
+from tonearm.operators import angular, clusters, durable, export, ridge, scale, store, vectors
 from tonearm.sources import pages
 from tonearm.sources.views import GENRES, VECTORS_SQL
 from tonearm.sources.views import table
@@ -248,47 +248,45 @@ def spearman_ranks(spark, sf_dir):
     return ranked.agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
-def _regression(spark, sf_dir):
-    from pyspark.ml.regression import LinearRegression
+def _target(spark, sf_dir):
+    """Vectors with a target that follows from them and their label."""
+    return vector_view(spark, sf_dir).select("vec_id", "label", "vec", (F.col("label") + F.get("vec", F.lit(0)) * 3).alias("target"))
 
-    v = vector_view(spark, sf_dir).select("vec_id", "label", array_to_vector("vec").alias("features"), (F.col("label") + F.get("vec", F.lit(0)) * 3).alias("target"))
-    return v, LinearRegression(featuresCol="features", labelCol="target", regParam=1.0, elasticNetParam=0.0)
+
+def _fitted(rows):
+    offset, direction = ridge.fit(rows, "vec", "target")
+    return ridge.predicted(F.col("vec"), F.lit(offset), F.array(*[F.lit(float(x)) for x in direction]))
 
 
 @query()
 def ridge_direction(spark, sf_dir):
-    """(pos, weight): the fitted direction; 64 values by construction."""
-    v, model = _regression(spark, sf_dir)
-    w = model.fit(v.where("vec_id % 5 <> 0")).coefficients.toArray()
+    """(pos, weight): the fitted direction; as many rows as a vector has numbers."""
+    _, w = ridge.fit(_target(spark, sf_dir).where("vec_id % 5 <> 0"), "vec", "target")
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w / np.linalg.norm(w))], "pos int, weight double")
 
 
 @query()
 def spearman_heldout(spark, sf_dir):
-    v, model = _regression(spark, sf_dir)
-    held = model.fit(v.where("vec_id % 5 <> 0")).transform(v.where("vec_id % 5 = 0")).select("vec_id", "prediction", "target")
+    v = _target(spark, sf_dir)
+    held = v.where("vec_id % 5 = 0").select("vec_id", _fitted(v.where("vec_id % 5 <> 0")).alias("prediction"), "target")
     ranked = scale.ranks(scale.ranks(held, "prediction", "rp"), "target", "rt")
     return ranked.agg(F.corr("rp", "rt").alias("rho"))
 
 
 @query()
 def leave_one_group_out(spark, sf_dir):
-    """(label, n, error): each label predicted by a fit without it; one fit per label."""
-    v, model = _regression(spark, sf_dir)
-    labels = sorted(r.label for r in v.select("label").distinct().collect())
-    parts = [model.fit(v.where(F.col("label") != x)).transform(v.where(F.col("label") == x)) for x in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("error"))
+    """(label, n, error): each label predicted by the fit to all others; one pass of moments for all fits."""
+    v = _target(spark, sf_dir)
+    fits = ridge.fits_without(v, "vec", "target", F.col("label")).withColumnRenamed("group", "label")
+    out = v.join(fits, "label").withColumn("error", F.abs(ridge.predicted(F.col("vec"), F.col("offset"), F.col("direction")) - F.col("target")))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.avg("error").alias("error"))
 
 
 @query()
 def impute_from_embedding(spark, sf_dir):
     """The target where it is known, else the prediction from the vector."""
-    v, model = _regression(spark, sf_dir)
-    known = v.withColumn("target", F.when(F.col("vec_id") % 4 != 0, F.col("target")))
-    return model.fit(known.where("target is not null")).transform(known).select("vec_id", F.coalesce("target", "prediction").alias("score"), F.col("target").isNull().alias("imputed"))
+    known = _target(spark, sf_dir).withColumn("target", F.when(F.col("vec_id") % 4 != 0, F.col("target")))
+    return known.select("vec_id", F.coalesce(F.col("target"), _fitted(known)).alias("score"), F.col("target").isNull().alias("imputed"))
 
 
 @query()
@@ -296,7 +294,7 @@ def pca_corr(spark, sf_dir):
     """(component, r): correlation of the first principal components with the target."""
     from pyspark.ml.feature import PCA
 
-    v, _ = _regression(spark, sf_dir)
+    v = _target(spark, sf_dir).withColumn("features", array_to_vector("vec"))
     p = PCA(k=4, inputCol="features", outputCol="pc").fit(v).transform(v).withColumn("pc", vector_to_array("pc"))
     row = p.agg(*[F.corr(F.get("pc", F.lit(i)), "target").alias(f"c{i}") for i in range(4)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.abs(F.col(f"c{i}")).alias("r")) for i in range(4)])).alias("x")).select("x.component", "x.r")
@@ -307,7 +305,7 @@ def map_projection(spark, sf_dir):
     """Two principal components per vector: a linear stand-in for a manifold map."""
     from pyspark.ml.feature import PCA
 
-    v, _ = _regression(spark, sf_dir)
+    v = _target(spark, sf_dir).withColumn("features", array_to_vector("vec"))
     p = PCA(k=2, inputCol="features", outputCol="pc").fit(v).transform(v).withColumn("pc", vector_to_array("pc"))
     return p.select("vec_id", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
 
