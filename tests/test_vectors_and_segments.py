@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import angular, clusters, ridge
-from tonearm.plans import catalogue
+from tonearm.operators import angular, clusters, density, ridge
+from tonearm.plans import catalogue, vector_queries
 from tonearm.sources.views import vectors
 
 
@@ -145,3 +145,95 @@ def test_moments_of_many_groups_and_odd_rows(spark, monkeypatch):
     assert [(r.offset, r.direction) for r in lone] == [(0.0, [0.0] * 3)]
     with pytest.raises(ValueError):
         ridge.fit(df.limit(0), "v", "y")
+
+
+def plain_density(x, least, samples):
+    """Leaf clusters top down: the heaviest edge of a component goes first."""
+    n = len(x)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :samples]
+    core = 1 - s[np.arange(n), order[:, -1]]
+    edges = {(min(i, j), max(i, j)): max(core[i], core[j], 1 - s[i, j]) for i in range(n) for j in order[i].tolist()}
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    tree = []
+    for w, (a, b) in sorted((w, e) for e, w in edges.items()):
+        if top(a) != top(b):
+            up[top(a)] = top(b)
+            tree.append((w, a, b))
+
+    def parts(nodes, kept):
+        left, out = set(nodes), []
+        links = {}
+        for _, a, b in kept:
+            links.setdefault(a, []).append(b), links.setdefault(b, []).append(a)
+        while left:
+            stack, seen = [left.pop()], set()
+            while stack:
+                i = stack.pop()
+                seen.add(i)
+                stack += [j for j in links.get(i, []) if j in left and not left.discard(j)]
+            out.append(seen)
+        return out
+
+    found = []
+
+    def descend(cluster, nodes, kept):
+        # ``cluster``: the points at its birth; ``nodes``: those still joined
+        kept = sorted(kept)
+        while kept:
+            kept = kept[:-1]
+            big = [p for p in parts(nodes, kept) if len(p) >= least]
+            if len(big) > 1:
+                for p in big:
+                    descend(p, p, [e for e in kept if e[1] in p])
+                return
+            if not big:
+                break
+            nodes = big[0]
+            kept = [e for e in kept if e[1] in nodes]
+        if cluster is not None:
+            found.append(cluster)
+
+    roots = [p for p in parts(range(n), tree) if len(p) >= least]
+    for p in roots:
+        descend(p if len(roots) > 1 else None, p, [e for e in tree if e[1] in p])
+    return {i: min(c) for c in found for i in c}
+
+
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_density_clusters_of_blobs_and_noise(spark, most):
+    rng = np.random.default_rng(6)
+    x = np.vstack([blobs(rng, 4, 120, 0.07, 8), blobs(rng, 30, 30, 0.5, 8)])
+    x[10:22] = x[10]
+    want = plain_density(x, 12, 4)
+    assert len(set(want.values())) >= 3 and len(want) < len(x)
+    got = {r.id: r for r in density.density_clusters(frame(spark, range(len(x)), x), "id", "vec", least=12, samples=4, votes=3, most=most).collect()}
+    assert {i: r.cluster for i, r in got.items() if not r.noise} == want
+    held = sorted(want)
+    for i, r in got.items():
+        if r.noise:
+            near = sorted(held, key=lambda j: (-(x[i] @ x[j]), j))[:3]
+            votes = [want[j] for j in near]
+            assert r.cluster == min(set(votes), key=lambda c: (-votes.count(c), c))
+
+
+def test_one_blob_never_splits(spark):
+    x = blobs(np.random.default_rng(7), 1, 60, 0.1, 8)
+    rows = density.density_clusters(frame(spark, range(60), x), "id", "vec", least=40, samples=3).collect()
+    assert len(rows) == 60 and all(r.cluster is None and r.noise for r in rows)
+    assert density.density_clusters(frame(spark, range(60), x).limit(0), "id", "vec").collect() == []
+
+
+def test_density_query_against_a_plain_one(spark, sf_dir):
+    ids, _, x, _ = target_table(spark, sf_dir)
+    plain = plain_density(x, vector_queries.CLUSTER_LEAST, vector_queries.CLUSTER_SAMPLES)
+    got = {r.vec_id: r for r in catalogue.QUERIES["density_clusters"](spark, sf_dir).collect()}
+    assert got.keys() == set(ids.tolist())
+    assert {i: r.cluster for i, r in got.items() if not r.noise} == {ids[i]: ids[c] for i, c in plain.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import harmony, tempo
-from tonearm.operators import angular, clusters, durable, export, ridge, scale, store, vectors
+from tonearm.operators import angular, clusters, density, durable, export, ridge, scale, store, vectors
 from tonearm.sources import pages
 from tonearm.sources.views import GENRES, VECTORS_SQL
 from tonearm.sources.views import table
@@ -18,6 +18,8 @@ from .rule_queries import _WHEEL
 
 #: Similarity from which two vectors of the test tables match, partners per vector, bonus of a fitting key.
 TAU, TOP, KEY_BONUS = 0.25, 6, 0.02
+#: Members of a density cluster of the test tables, neighbours of the core distance.
+CLUSTER_LEAST, CLUSTER_SAMPLES = 5, 3
 
 _V = f"v as materialized (select *, {_WHEEL.format(k='key')} // 2 + 1 as kn, {_WHEEL.format(k='key')} % 2 as kl from ({VECTORS_SQL}))"
 _FIT = "(a.kn = b.kn or (a.kl = b.kl and (a.kn - b.kn + 12) % 12 in (1, 11)))"
@@ -319,6 +321,12 @@ def knn_vote(spark, sf_dir):
     return votes.groupBy("q").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"), F.max("n").alias("votes"))
 
 
+@query()
+def density_clusters(spark, sf_dir):
+    """(vec_id, cluster, noise): leaf clusters by mutual reachability; noise has the cluster that its neighbours vote for."""
+    return density.density_clusters(vector_view(spark, sf_dir).select("vec_id", "vec"), "vec_id", "vec", CLUSTER_LEAST, CLUSTER_SAMPLES)
+
+
 @query(f"with {_V}, p as (select a.vec_id as a, b.vec_id as b, list_dot_product(a.vec, b.vec) as sim, abs(a.bpm - b.bpm) as gap from v a join v b on a.vec_id < b.vec_id and list_dot_product(a.vec, b.vec) >= {TAU}::double) select count(*) as pairs, round(avg(gap), 6) as mean_gap from p")
 def neighbour_smoothness(spark, sf_dir):
     v = vector_view(spark, sf_dir)
