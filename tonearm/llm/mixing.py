@@ -6,10 +6,11 @@ document is then kept with its cell's calibrated probability, by a hash of its k
 the sample is the same in every run.
 
 A marginal's target is given as shares by label, or is its token share raised to
-``power`` and normalised: below 1 it favours small categories. The sample is as large as
-it can be with no cell asked for more than it holds, so that the expected shares are the
-targets. With a given ``fraction`` a cell asked for more gives all it has, and the shares
-miss the targets by that.
+``power`` and normalised: below 1 it favours small categories. A cell asked for more than
+it holds gives all it has, and the shares miss the targets by that. The sample is as large
+as it can be with at most ``LOSS`` of its tokens missed so, so neither a rare label nor a
+few cells bound it; marginals that no weights meet (a label that occurs with one other
+label only) are missed in the same way. A given ``fraction`` sets the size instead.
 
 Defined results: nulls are a category of their own in each dimension; a label without a
 given share has none, and given shares of labels that do not occur are left out, the
@@ -17,7 +18,7 @@ others scaled to one; a null or empty text weighs nothing and shares its cell's
 probability; a cell without tokens keeps all its rows; equal keys share their fate;
 columns of any name are carried; no rows give no rows. Given targets that no weights of
 the cells there are can meet raise ``ValueError``; shares by power that cannot be met
-give a warning, and the last dimension's hold.
+give a warning that names the share missed, and the last dimension's hold.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import drop, require, save, small_enough
 
-#: Raking ends when all marginals hold to ``TOLERANCE``, tested every ``TEST_EVERY`` rounds; at ``ROUNDS`` they must hold to ``MISS``.
-ROUNDS, TEST_EVERY, TOLERANCE, MISS = 16, 4, 1e-12, 1e-2
+#: Raking ends when all marginals hold to ``TOLERANCE``, tested every ``TEST_EVERY`` rounds; at ``ROUNDS`` at most the share ``MISS`` of the tokens may lie with other labels than wanted.
+ROUNDS, TEST_EVERY, TOLERANCE, MISS = 32, 8, 1e-12, 1e-2
+#: Part of the sample's tokens that cells asked for too much may lack; sizes that are tried, as parts of one.
+LOSS, SIZES = 0.0005, 1000
 #: Cells that one task rakes.
 CELLS_IN_ONE_TASK = 100_000
 #: Exponents of the target shares by dimension.
@@ -97,12 +100,13 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
         drop(before)
         miss = 0.0
         for dim in dims:
-            off = F.abs(F.sum("weight") - F.max(f"target_{dim}")) / F.greatest(F.max(f"target_{dim}"), F.lit(1.0))
-            miss = max(miss, now.groupBy(dim).agg(off.alias("off")).agg(F.max("off")).first()[0] or 0.0)
+            off = F.abs(F.sum("weight") - F.max(f"target_{dim}"))
+            sums = now.groupBy(dim).agg(off.alias("off"), F.sum("weight").alias("has")).agg(F.sum("off"), F.sum("has")).first()
+            miss = max(miss, (sums[0] or 0.0) / 2 / max(sums[1] or 0.0, 1.0))
         if miss < TOLERANCE:
             break
     if miss > MISS:
-        found = f"no weights meet all targets: {miss:.3f} off after {rounds} rounds"
+        found = f"no weights meet all targets: {miss:.3f} of the tokens lie with other labels after {rounds} rounds"
         if targets:
             raise ValueError(found)
         warnings.warn(found, stacklevel=2)
@@ -110,12 +114,33 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
     return now.drop(*[f"target_{d}" for d in dims])
 
 
+def largest_fraction(raked: DataFrame) -> float:
+    """The largest size at which cells asked for more than they hold lack at most ``LOSS`` of the sample.
+
+    Cells are summed by the size from which they lack tokens; ``SIZES`` rows at most come to the driver.
+    """
+    total = raked.agg(F.sum("weight")).first()[0] or 0.0
+    short = raked.where("weight > 0 and tokens < weight").groupBy(F.ceil(F.col("tokens") / F.col("weight") * SIZES).alias("k")).agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens"))
+    found = {r.k: (r.weight, r.tokens) for r in short.collect()}
+    weight = tokens = 0.0
+    for k in range(SIZES + 1):
+        weight, tokens = weight + found.get(k, (0.0, 0))[0], tokens + found.get(k, (0.0, 0))[1]
+        if k and (k / SIZES * weight - tokens) / (k / SIZES * total or 1.0) > LOSS:
+            return max(k - 1, 1) / SIZES
+    return 1.0
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", fraction: float | None = None, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, seed: int = 0, name: str = "mix") -> DataFrame:
     """All columns of ``docs`` with a struct ``name``: dimensions, tokens, probability, kept.
 
     ``targets`` gives shares by dimension and label, in place of the power of the token share.
     ``fraction`` is the wanted total against the tokens there are, before cells give out;
-    none given: the largest at which no cell gives out.
+    none given: that of ``largest_fraction``.
     Cells are few against documents; they are broadcast where a count shows it, else
     joined by shuffle, where AQE splits a hot cell.
     """
@@ -127,12 +152,12 @@ def mix(docs: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str
     cells = marked.groupBy(*[F.col(tag + d).alias(d) for d in dims]).agg(F.sum(tag + "tokens").alias("tokens"))
     raked = rake(cells, {d: powers[d] for d in dims}, targets)
     if fraction is None:
-        fraction = min(1.0, raked.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0] or 1.0)
+        fraction = largest_fraction(raked)
     wanted = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(fraction) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0))
     chance = small_enough(raked.select(*[F.col(d).alias(tag + d) for d in dims], wanted.alias(tag + "p")))
     out = marked.join(chance, [tag + d for d in dims])
     facts = [*[F.col(tag + d).alias(d) for d in dims], F.col(tag + "tokens").alias("tokens"), F.col(tag + "p").alias("probability"), (uniform(docs[key], seed) < F.col(tag + "p")).alias("kept")]
-    return out.select(*[docs[c] for c in docs.columns], F.struct(*facts).alias(name))
+    return out.select(*[named(c) for c in docs.columns], F.struct(*facts).alias(name))
 
 
 def document_dims(docs: DataFrame) -> dict[str, Column]:

@@ -51,7 +51,7 @@ from documents
 
 
 def _mixing_sql() -> str:
-    from .mixing import POWERS, ROUNDS
+    from .mixing import LOSS, POWERS, ROUNDS, SIZES
 
     steps = ["""d as (
   select doc_id, coalesce(source, chr(0) || 'null') as source, coalesce(lang, chr(0) || 'null') as lang,
@@ -71,7 +71,12 @@ def _mixing_sql() -> str:
   select source, lang, topic, tokens, weight * coalesce(target / has, 1.0::double) as weight
   from (select *, sum(weight) over (partition by {dim}) as has from c{n}) left join target_{dim} using ({dim}))""")
             n += 1
-    steps.append(f"fraction as materialized (select least(1.0::double, coalesce(min(tokens / weight), 1.0::double)) as fraction from c{n} where weight > 0)")
+    steps.append(f"""short as materialized (
+  select ceil(tokens / weight * {SIZES})::bigint as k, sum(weight) as weight, sum(tokens) as tokens from c{n} where weight > 0 and tokens < weight group by 1)""")
+    steps.append(f"""fraction as materialized (
+  select coalesce(greatest(min(size) - 1, 1), {SIZES}) / {SIZES}::double as fraction from (
+    select size from range(1, {SIZES + 1}) r(size) join short on k <= size group by size
+    having (size / {SIZES}::double * sum(weight) - sum(tokens)) / (size / {SIZES}::double * (select sum(weight) from c{n})) > {LOSS}::double))""")
     return "with " + ", ".join(steps) + f"""
 select doc_id, source, lang, topic, d.tokens as tokens, round(p, 6) as probability,
   ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0::double < p as kept
