@@ -19,11 +19,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import drop, new_path, remove, require, save, shuffle_partitions, small_enough
 
 #: Digests with more than 1/HOT_PARTS of all rows are joined by broadcast; there are fewer than HOT_PARTS of them.
 HOT_PARTS = 1000
+#: Keys from which batches of other keys than numbers are cut.
+CUT_SAMPLE = 10_000
 
 
 def text_digest(text: Column | str) -> Column:
@@ -149,11 +152,17 @@ def dedup_in_batches(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """``memberships`` of ``docs`` brought to a new index in batches of descending key, null keys last.
 
     So the largest key of equal texts comes first and stays, whatever the batch of the
-    others. The key must be a number. The result is saved; the index and its files are removed.
+    others. Keys that are not numbers are cut at those of ``CUT_SAMPLE`` drawn by hash. The
+    result is saved; the index and its files are removed.
     """
     require(docs, key, text)
     shares = [1 - (k + 1) / batches for k in range(batches - 1)]
-    cuts = docs.agg(F.percentile_approx(docs[key], shares, 10_000).alias("cuts")).first()["cuts"] if shares else []
+    if isinstance(docs.schema[key].dataType, T.NumericType):
+        cuts = docs.agg(F.percentile_approx(docs[key], shares, 10_000).alias("cuts")).first()["cuts"] if shares else []
+    else:
+        drawn = docs.select(docs[key].alias("key")).where("key is not null").orderBy(F.xxhash64("key")).limit(CUT_SAMPLE)
+        found = [r.key for r in drawn.orderBy("key").collect()]
+        cuts = [found[int(s * len(found))] for s in shares] if found else []
     index, above = DigestIndex(docs.sparkSession), None
     for low in [*dict.fromkeys(cuts or []), None]:
         rest = F.lit(True) if above is None else F.coalesce(docs[key] < above, F.lit(True))
