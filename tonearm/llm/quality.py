@@ -248,7 +248,8 @@ def score_rows(docs: DataFrame, weights: np.ndarray, text: str = "text", score:
             yield out.filter(pa.array(kept, pa.bool_())) if only_kept else out
         release_memory()
 
-    return docs.mapInArrow(run, schema)
+    # by position, since names may hold dots
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
