@@ -256,7 +256,7 @@ def test_mixing_of_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_oracle_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     cursor = con.execute(oracle.ORACLE[name])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import filter_audit, prefix_trie, queries, toxicity
+from tonearm.llm import exact_dedup, filter_audit, mixing, prefix_trie, quality, queries, toxicity
 
 
 
@@ -246,3 +246,27 @@ def test_toxicity_cases(spark):
     assert {r.score for r in toxicity.detect(df, marks.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.detect(df.limit(0), marks).collect() == []
     assert list(itertools.chain(*toxicity.slices("ab1cd " * 400_000))) == ["ab", "cd"] * 400_000
+
+
+def test_one_odd_document_does_not_bound_the_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(-1, "a b c d", "odd", "odd", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix_documents(docs.unionByName(odd)).toPandas()
+    assert out.tokens[out.kept].sum() >= 0.4 * out.tokens.sum()
+    got = out.tokens * out.probability
+    for dim, power in mixing.POWERS.items():
+        target = out.groupby(dim).tokens.sum() ** power
+        assert (got.groupby(out[dim]).sum() / got.sum() - target / target.sum()).abs().max() < 0.02
+
+
+def test_columns_with_dots_and_keys_of_text(spark):
+    rows = [(f"k{i}", "The quick brown fox jumps over the lazy dog as it does every day in this town. " * (1 + i % 3), "en", f"s{i % 2}", i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, `a.b` int, `c``d` int")
+    assert mixing.keep_mixed(docs).columns == docs.columns and mixing.keep_mixed(docs).count() > 0
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r["a.b"] for r in kept.collect()} <= set(range(60))
+    got = {r.key: r for r in exact_dedup.dedup_in_batches(docs).collect()}
+    for j in range(3):
+        own = sorted(f"k{i}" for i in range(60) if i % 3 == j)
+        assert all((got[k].keep_id, got[k].group_size, got[k].kept) == (own[-1], 20, k == own[-1]) for k in own)
+    assert exact_dedup.dedup_in_batches(docs.limit(0)).collect() == []
