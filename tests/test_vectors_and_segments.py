@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import angular, clusters, density, ridge
+from tonearm.operators import angular, clusters, density, layout, ridge
 from tonearm.plans import catalogue, vector_queries
 from tonearm.sources.views import vectors
 
@@ -237,3 +237,33 @@ def test_density_query_against_a_plain_one(spark, sf_dir):
     got = {r.vec_id: r for r in catalogue.QUERIES["density_clusters"](spark, sf_dir).collect()}
     assert got.keys() == set(ids.tolist())
     assert {i: r.cluster for i, r in got.items() if not r.noise} == {ids[i]: ids[c] for i, c in plain.items()}
+
+
+def trustworthiness(x, y, k=8):
+    n, far, near = len(x), 1 - x @ x.T, ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(far, np.inf), np.fill_diagonal(near, np.inf)
+    rank = far.argsort(axis=1).argsort(axis=1)
+    missed = sum(max(0, rank[i, j] + 1 - k) for i in range(n) for j in near[i].argsort()[:k])
+    return 1 - 2 * missed / (n * k * (2 * n - 3 * k - 1))
+
+
+def test_map_keeps_neighbours_better_than_principal_components(spark):
+    x = blobs(np.random.default_rng(8), 8, 160, 0.12)
+    df = frame(spark, range(160), x).unionByName(spark.createDataFrame([(999, None)], "id long, vec array<double>"))
+    got = {r.id: (r.c0, r.c1) for r in layout.manifold_map(df, "id", "vec", neighbours=10, epochs=12).collect()}
+    assert sorted(got) == list(range(160))
+    centred = x - x.mean(axis=0)
+    linear = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    assert trustworthiness(x, np.array([got[i] for i in range(160)])) > trustworthiness(x, linear) + 0.01
+    assert layout.manifold_map(df.limit(0), "id", "vec").collect() == []
+
+
+def test_fuzzy_weights_sum_to_the_same(spark):
+    a, b = layout.curve(0.1)
+    assert abs(a - 1.577) < 0.01 and abs(b - 0.895) < 0.01
+    near = [(q, q * 100 + r, 0.9 - 0.01 * r * (q + 1), r) for q in range(1, 4) for r in range(1, 9)] + [(9, 10, 1.0, 1), (10, 9, 1.0, 1)]
+    rows = layout.fuzzy_edges(spark.createDataFrame(near, "q long, id long, sim double, rank int"), "id", 8).collect()
+    for q in range(1, 4):
+        # each of these edges has one direction
+        assert abs(sum(r.w for r in rows if r.a == q) - 3) < 1e-6
+    assert [r.w for r in rows if (r.a, r.b) == (9, 10)] == [1.0]

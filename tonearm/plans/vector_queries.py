@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import harmony, tempo
-from tonearm.operators import angular, clusters, density, durable, export, ridge, scale, store, vectors
+from tonearm.operators import angular, clusters, density, durable, export, layout, ridge, scale, store, vectors
 from tonearm.sources import pages
 from tonearm.sources.views import GENRES, VECTORS_SQL
 from tonearm.sources.views import table
@@ -321,6 +321,12 @@ def knn_vote(spark, sf_dir):
     return votes.groupBy("q").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"), F.max("n").alias("votes"))
 
 
+@query()
+def manifold_map(spark, sf_dir):
+    """(vec_id, c0, c1): a map by neighbourhoods."""
+    return layout.manifold_map(vector_view(spark, sf_dir).select("vec_id", "vec"), "vec_id", "vec")
+
+
 @query()
 def density_clusters(spark, sf_dir):
     """(vec_id, cluster, noise): leaf clusters by mutual reachability; noise has the cluster that its neighbours vote for."""
