@@ -7,7 +7,6 @@ import time
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tonearm.operators import durable, store
 
@@ -65,9 +64,3 @@ def cached_lookup(requests: DataFrame, cache: DataFrame, call: Callable[[str], M
 
     fetched = durable.written(missing.mapInPandas(run, "k string, v string"))
     return fetched.unionByName(cache.join(requests.select("k"), "k", "left_semi").select("k", "v"))
-
-
-def first_hit(results: DataFrame, key: str, step: str) -> DataFrame:
-    """Results of the first step of a fallback chain that found anything."""
-    best = results.groupBy(key).agg(F.min(step).alias(step))
-    return results.join(best, [key, step])
