@@ -107,3 +107,20 @@ def test_vibes(spark):
     zero = spark.createDataFrame([(0.0, 0.0, 0.0, 0.6, 0.0)], "h double, r double, s double, a double, p double")
     assert zero.select(rules.map_mood(*[F.col(c) for c in "hrsap"]).alias("y")).first().y == "—"
     assert column(spark, [None, 0.15, 0.35, 0.60, 0.61], "double", rules.intensity) == ["warmup", "warmup", "groovy", "driving", "peak"]
+
+
+def test_folds_of_any_tempo(spark):
+    rows = [(1e-300,), (1e-9,), (47.0,), (94.99,), (95.0,), (118.0,), (1e300,), (float("inf"),), (0.0,), (None,), (-5.0,)]
+    got = [(r.b, r.up, r.down) for r in spark.createDataFrame(rows, "b double").select("b", tempo._double_below(F.col("b"), 95.0).alias("up"), tempo._halve_from(F.col("b"), 118.0).alias("down")).collect()]
+    for b, up, down in got:
+        if b is None or b <= 0 or b == float("inf"):
+            assert up is None or b == float("inf")
+            continue
+        want = b
+        while want < 95:
+            want *= 2
+        assert up == want
+        want = b
+        while want >= 118:
+            want /= 2
+        assert down == want

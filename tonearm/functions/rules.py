@@ -84,6 +84,9 @@ def display_family(genre: Column) -> Column:
     )
 
 
+# The thresholds and names of intensity, vibes and moods in the three rule lists below.
+
+
 def intensity(aggressive: Column) -> Column:
     a = F.coalesce(aggressive, F.lit(0.0))
     return first_match([(a > 0.60, "peak"), (a > 0.35, "driving"), (a > 0.15, "groovy")], "warmup")

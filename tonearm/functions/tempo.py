@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 # Half-open tempo bands.
 BANDS = [(0, 75, "<75"), (75, 85, "75-85"), (85, 95, "85-95"), (95, 110, "95-110"), (110, 122, "110-122"), (122, 128, "122-128"), (128, 135, "128-135"), (135, 145, "135-145"), (145, 160, "145-160"), (160, 175, "160-175"), (175, 999, "175+")]
-#: Octave steps of a fold; doubling is exact, so no tempo above 1e-6 needs more.
-STEPS = 28
+#: More octaves than lie between any two doubles.
+MOST_OCTAVES = 2200
+
+
+def _octaves(of: Column) -> Column:
+    """The whole numbers from 0 on next to an octave count; doubling is exact, so one of them is the wanted one."""
+    first = F.greatest(F.floor(F.least(F.greatest(of, F.lit(0.0)), F.lit(float(MOST_OCTAVES)))) - 1, F.lit(0)).cast("int")
+    return F.sequence(first, first + 3)
 
 
 def _double_below(b: Column, floor: float) -> Column:
     """Doubled until it is at least ``floor``: the least exact power of two that does."""
-    steps = F.filter(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: b * F.pow(F.lit(2.0), k) >= floor)
+    steps = F.filter(_octaves(F.log2(F.lit(floor)) - F.log2(b)), lambda k: b * F.pow(F.lit(2.0), k) >= floor)
     return b * F.pow(F.lit(2.0), F.get(steps, F.lit(0)))
 
 
 def _halve_from(b: Column, ceiling: float) -> Column:
-    steps = F.filter(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: b / F.pow(F.lit(2.0), k) < ceiling)
+    steps = F.filter(_octaves(F.log2(b) - F.log2(F.lit(ceiling))), lambda k: b / F.pow(F.lit(2.0), k) < ceiling)
     return b / F.pow(F.lit(2.0), F.get(steps, F.lit(0)))
 
 

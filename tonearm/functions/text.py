@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words whose bracket is dropped from a title, and the featuring tail.
+# Words whose bracket is dropped from a title, the brackets, and the featuring tail.
 NOISE_WORDS = "mix|edit|remix|rmx|version|dub|instrumental|bootleg|rework|vip|extended|original|radio|beatless|acapella"
+NOISE_BRACKET = rf"(?i)\s*[\(\[][^)\]]*\b({NOISE_WORDS})\b[^)\]]*[\)\]]"
+OTHER_BRACKET = r"[\[\(][^)\]]*[\)\]]"
 FEATURING = r"(?i)\s*\b(feat\.?|ft\.?|featuring)\b.*$"
 # Pattern of a catalogue number, artists and titles of one-shot samples.
 CATALOGUE = r"[\[\(]\s*([A-Za-z]{2,}[A-Za-z0-9]*\d{2,}[A-Za-z0-9]*)\s*[\]\)]"
@@ -40,9 +42,9 @@ def slug(c: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """Without remix brackets, featuring tails, other brackets and doubled blanks."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s*[\(\[][^)\]]*\b({NOISE_WORDS})\b[^)\]]*[\)\]]", "")
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), NOISE_BRACKET, "")
     s = F.regexp_replace(s, FEATURING, "")
-    s = F.regexp_replace(s, r"[\[\(][^)\]]*[\)\]]", "")
+    s = F.regexp_replace(s, OTHER_BRACKET, "")
     return F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" -"))
 
 
