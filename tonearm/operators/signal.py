@@ -104,8 +104,3 @@ def signal_features(signals: DataFrame, key: str, samples: str, rate: float, bpm
             yield pd.DataFrame(rows, columns=[key, "name", "num"])
 
     return signals.select(*columns).mapInPandas(run, f"{key} {signals.schema[key].dataType.simpleString()}, name string, num double")
-
-
-def mel_batch(rows: np.ndarray, batch: int = 64) -> np.ndarray:
-    """Patches stretched or thinned to a fixed number by evenly spaced positions."""
-    return rows[np.linspace(0, len(rows) - 1, batch).round().astype(int)]
