@@ -210,11 +210,11 @@ def plain_density(x, least, samples):
 @pytest.mark.parametrize("most", [100_000, 50])
 def test_density_clusters_of_blobs_and_noise(spark, most):
     rng = np.random.default_rng(6)
-    x = np.vstack([blobs(rng, 4, 120, 0.07, 8), blobs(rng, 30, 30, 0.5, 8)])
+    x = np.vstack([blobs(rng, 4, 90, 0.07, 8), blobs(rng, 20, 20, 0.5, 8)])
     x[10:22] = x[10]
-    want = plain_density(x, 12, 4)
+    want = plain_density(x, 8, 4)
     assert len(set(want.values())) >= 3 and len(want) < len(x)
-    got = {r.id: r for r in density.density_clusters(frame(spark, range(len(x)), x), "id", "vec", least=12, samples=4, votes=3, most=most).collect()}
+    got = {r.id: r for r in density.density_clusters(frame(spark, range(len(x)), x), "id", "vec", least=8, samples=4, votes=3, most=most).collect()}
     assert {i: r.cluster for i, r in got.items() if not r.noise} == want
     held = sorted(want)
     for i, r in got.items():
