@@ -1,9 +1,11 @@
 """Registered queries on small tables that hold what the shared test data do not."""
 
+import datetime
 import difflib
 import re
 from urllib.parse import unquote
 
+import duckdb
 import numpy as np
 
 from tonearm.plans import catalogue
@@ -49,3 +51,21 @@ def test_kmeans_runs_18_clusters_and_up_to_40_rounds(spark, sf_dir):
             break
     got = {r.vec_id: r.cluster for r in catalogue.QUERIES["kmeans_spherical"](spark, sf_dir).collect()}
     assert got == {i: k for (i, _), k in zip(rows, (x @ c.T).argmax(axis=1).tolist())}
+
+
+def test_levels_round_as_their_sql(spark, tmp_path):
+    # a rise of 24.46 is above its upper quartile, and 89.23 above half its 95th percentile, in the last digit only
+    rises = [(0.0, 1.0)] * 15 + [(0.01, 24.47), (0.0, 24.46)] + [(0.0, 30.0 + i) for i in range(15)]
+    assert rises[15][1] - rises[15][0] == 24.46 - 2**-48
+    series = {1: [x for pair in rises for x in pair], 2: [89.23] * 10 + [1.0] * 45 + [178.28, 180.08, 190.0, 200.0], 3: [None, None], 4: [5.0], 5: [None, 7.0, 7.0, 7.0, 9.0]}
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(100 * u + i, start + datetime.timedelta(seconds=i), u, "view", x, "{}") for u, xs in series.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("signal_flux_peaks",):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(df.columns)} from ({catalogue.ORACLE[name]})").fetchall()
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+        assert len(want) == (16 if name == "signal_flux_peaks" else 5)

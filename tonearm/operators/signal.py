@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,32 @@ def positive_flux(samples: DataFrame, key: str, order: list[str], value: str) ->
     return samples.withColumn("flux", F.greatest(F.lit(0.0), F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0))))
 
 
+def levels(samples: DataFrame, key: str, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """(key, one column a share): quantiles of each series, null for one without values.
+
+    Between neighbours, at a part d of the way, they are ``lo * (1 - d) + hi * d`` with one
+    rounding for the first product and the sum, as DuckDB computes ``quantile_cont``. Rows
+    are compared with these levels, so the last digit counts; Spark's ``percentile`` rounds
+    both products.
+    """
+    own = W.partitionBy(key)
+    ranked = samples.select(key, F.col(value).cast("double").alias("__v"))
+    ranked = ranked.withColumns({"__at": F.row_number().over(own.orderBy(F.col("__v").asc_nulls_last())) - 1, "__n": F.count("__v").over(own)})
+    place = {c: (F.col("__n") - 1) * F.lit(float(q)) for c, q in shares.items()}
+    at = lambda where: F.max(F.when(F.col("__at") == where, F.col("__v")))
+    ends = [x for c, p in place.items() for x in (F.max(p - F.floor(p)).alias(f"__d_{c}"), at(F.floor(p)).alias(f"__lo_{c}"), at(F.ceil(p)).alias(f"__hi_{c}"))]
+
+    def between(c: str) -> Column:
+        d, lo, hi = (F.col(f"__{k}_{c}") for k in ("d", "lo", "hi"))
+        # a series without values never reaches the method, which takes no nulls
+        return F.when(lo.isNotNull() & (d > 0), F.java_method(F.lit("java.lang.Math"), F.lit("fma"), lo, 1 - d, hi * d).cast("double")).otherwise(lo)
+
+    return ranked.groupBy(key).agg(*ends).select(key, *[between(c).alias(c) for c in shares])
+
+
 def peaks(samples: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows above their series' upper quartile, not below the one before and above the one after."""
-    level = samples.groupBy(key).agg(F.percentile(value, F.lit(0.75)).alias("__p75"))
+    level = levels(samples, key, value, {"__p75": 0.75})
     w = W.partitionBy(key).orderBy(*order)
     marked = samples.withColumns({"__before": F.lag(value).over(w), "__after": F.lead(value).over(w)}).join(level, key)
     v = F.col(value)
