@@ -64,7 +64,7 @@ def test_levels_round_as_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("signal_flux_peaks",):
+    for name in ("signal_flux_peaks", "signal_summary"):
         df = catalogue.QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(df.columns)} from ({catalogue.ORACLE[name]})").fetchall()
         assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))

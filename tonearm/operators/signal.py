@@ -59,8 +59,8 @@ def series_summary(samples: DataFrame, key: str, value: str) -> DataFrame:
 
     sustain: share above half the 95th percentile; crest: p99 / p50; dyn_range: log10(p90 / p10).
     """
-    p = {k: F.percentile(value, F.lit(k / 100)) for k in (10, 50, 90, 95, 99)}
-    stats = samples.groupBy(key).agg(*[x.alias(f"p{k}") for k, x in p.items()])
+    p = (10, 50, 90, 95, 99)
+    stats = levels(samples, key, value, {f"p{k}": k / 100 for k in p})
     joined = samples.join(stats, key)
     tiny = F.lit(1e-9)
     first = [F.first(f"p{k}").alias(f"p{k}") for k in p]
