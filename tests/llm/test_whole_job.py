@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tonearm.llm import langid, mixing, quality
+from tonearm.llm import langid, mixing, quality, toxicity
 
 
 def test_language_id_with_a_rare_and_a_wordless_language(spark):
@@ -63,3 +63,16 @@ def test_near_copies_go_by_row(spark, sf_dir):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id or 0), (r.text or "").split(" ")[0]) for r in out.collect())
     assert got == sorted([(1, "a0"), (0, "lone0"), (0, "other"), (0, "b0"), (5, "c0"), (7, "d0"), (8, "e0"), (9, "f0"), (0, "g0"), (10, ""), (10, ""), (11, "")])
+
+
+def test_the_toxicity_curve_is_fitted_on_all_learning_rows(spark, monkeypatch):
+    docs = spark.range(33_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the old house "), F.when(F.col("id") % 10 == 0, F.lit("zorgle")).otherwise(F.lit("water"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    met: list[list[tuple[float, int, int]]] = []
+    for name in ("logistic", "best_cut"):
+        monkeypatch.setattr(toxicity, name, lambda points, f=getattr(toxicity, name): met.append(points) or f(points))
+    toxicity.fit(docs, labels)
+    learned = labels.where(toxicity.fold(F.col("doc_id")) != 1)
+    want = (learned.count(), learned.where("toxic = 1").count())
+    assert want[0] > 20_000 and len(met) == 2
+    assert all((sum(n for _, n, _ in x), sum(t for _, _, t in x)) == want for x in met)
