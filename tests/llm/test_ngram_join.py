@@ -194,3 +194,27 @@ def test_query_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in queries.op6_ngram_jaccard(spark, sf_dir).collect())
     assert got == brute([(d.doc_id, d.text) for d in docs], 3, 90)
+
+
+def test_group_of_near_copies_that_do_not_link():
+    """Members of a group that just fail to link are no candidates; all linked pairs are."""
+    rnd = np.random.default_rng(5)
+    for n, lost in ((100, 14), (400, 56), (1000, 140)):
+        base = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = []
+        for k in range(60):
+            own = base.copy()
+            own[rnd.choice(n, lost if k >= 8 else lost // 3, replace=False)] = rnd.integers(0, 1 << 63, lost if k >= 8 else lost // 3, dtype=np.uint64)
+            sets.append(np.unique(own))
+        points = ngram_join.points_of([ngram_join.point(s) for s in sets])
+        assert all(p.sum(dtype=np.int64) == len(s) for p, s in zip(points, sets))
+        linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if ngram_join.linked(sets[i], sets[j], 80)}
+        p, q = ngram_join.asked(points, np.arange(60), 80)
+        got = {(min(i, j), max(i, j)) for i, j in zip(p.tolist(), q.tolist())}
+        assert 28 <= len(linked) <= len(got) <= len(linked) + 10 and linked <= got
+    for n in (1, 129, 70_000):
+        ids = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        x = ngram_join.points_of([ngram_join.point(ids)])[0]
+        assert (x == np.bincount((ids & np.uint64(len(x) - 1)).astype(np.int64), minlength=len(x))).all()
+    heavy = np.arange(500, dtype=np.uint64) << np.uint64(20)
+    assert ngram_join.points_of([ngram_join.point(heavy)])[0].tolist() == [500] + [0] * 511

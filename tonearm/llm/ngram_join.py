@@ -3,8 +3,8 @@
 A text's shingles are hashed into ``DIMS`` groups; its group counts are a point. The
 overlap of two sets (or of any two sets in two boxes) is at most the sum of the
 coordinates' minima, which R-trees over the points use to give the candidate pairs. Every
-pair that is verified on the texts themselves comes out of a tree. Long texts have finer
-points, of which a tree's are sums; they bound the pairs of long texts once more.
+pair that is verified on the texts themselves comes out of a tree. Texts of more shingles
+have finer points, of which a tree's are sums; they bound a tree's pairs once more.
 
 The trees are dealt over the cluster by files. Shingles are ordered by how common they
 are, then by hash; two linked sets share one at least of the first ``n - ceil(t n) + 1``
@@ -44,8 +44,10 @@ from .tokens import runs_of_texts
 
 #: Coordinates of a tree's points; capacity of an R-tree node; points of a tree.
 DIMS, FANOUT, BLOCK = 128, 16, 512
-#: A long text's own point has a coordinate for so many shingles, up to ``FINEST`` coordinates.
-PER_DIM, FINEST = 8, 1 << 14
+#: A text's own point has a coordinate for each shingle up to ``FINE`` coordinates, then for so many shingles, up to
+#: ``FINEST``: little of what two texts do not share meets in one, so members of a group of near copies are
+#: candidates only where they nearly link.
+FINE, PER_DIM, FINEST = 512, 8, 1 << 14
 #: Shingles of a set whose files are asked first.
 FIRST_FILES = 2
 #: Parts in which pairs are verified.
@@ -55,6 +57,9 @@ FILE_SLICES = 2
 #: Counters of the table that orders shingles, as bits.
 SLOT_BITS = 18
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: Places of four counts in a byte, and the counts in each byte.
+_SHIFTS = np.array([0, 2, 4, 6], np.uint8)
+_QUADS = ((np.arange(256)[:, None] >> _SHIFTS) & 3).astype(np.uint8)
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -117,22 +122,52 @@ def prefix(ids: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def point(ids: np.ndarray) -> bytes:
-    """Counts of shingles in groups, ``DIMS`` or a power of two more for long texts; first the bytes of a count."""
+    """Counts of shingles in groups, ``DIMS`` or a power of two more for long texts.
+
+    Two bytes tell how counts are written and how many there are: as 2 bits each, then the
+    places of what is above 3, once for each unit; or as 1, 2 or 4 bytes each.
+    """
     dims = DIMS
-    while dims < FINEST and dims * PER_DIM < len(ids):
+    while dims < FINEST and dims * (1 if dims < FINE else PER_DIM) < len(ids):
         dims *= 2
     counts = np.bincount((ids & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+    above = np.maximum(counts - 3, 0)
+    head = lambda width: bytes([width, dims.bit_length() - 1])
+    if counts.max() < 1 << 8 and above.sum() * 2 < dims // 2:
+        low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+        return head(0) + (low << _SHIFTS).sum(axis=1, dtype=np.uint8).tobytes() + np.repeat(np.arange(dims), above).astype("<u2").tobytes()
     width = next(w for w in (1, 2, 4) if counts.max() < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return head(width) + counts.astype(f"<u{width}").tobytes()
 
 
 def points_of(raws: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(r, f"<u{r[0]}", offset=1).astype(np.uint32) for r in raws]
+    out: list[np.ndarray] = [None] * len(raws)  # type: ignore[list-item]
+    alike: dict[bytes, list[int]] = {}
+    for i, r in enumerate(raws):
+        alike.setdefault(r[:2], []).append(i)
+    for (width, power), own in alike.items():
+        end = 2 + ((1 << power) * width or (1 << power) // 4)
+        table = np.frombuffer(b"".join([raws[i][2:end] for i in own]), f"<u{width or 1}").reshape(len(own), -1)
+        if not width:
+            table = _QUADS[table].reshape(len(own), -1)
+            above = [raws[i][end:] for i in own]
+            np.add.at(table, (np.repeat(np.arange(len(own)), [len(x) // 2 for x in above]), np.frombuffer(b"".join(above), "<u2")), 1)
+        for i, x in zip(own, table):
+            out[i] = x
+    return out
 
 
 def folded(points: list[np.ndarray], dims: int) -> np.ndarray:
     """The points as rows of ``dims`` coordinates, sums of their finer ones."""
-    return np.array([x.reshape(-1, dims).sum(axis=0, dtype=np.uint32) if len(x) > dims else x for x in points], np.uint32)
+    out = np.zeros((len(points), dims), np.uint32)
+    sizes = np.array([len(x) for x in points], np.int64)
+    for n in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == n)
+        step = max(1, (1 << 22) // n)
+        for at in range(0, len(which), step):
+            some = which[at : at + step]
+            out[some] = np.array([points[i] for i in some]).reshape(len(some), -1, dims).sum(axis=1, dtype=np.uint32)
+    return out
 
 
 def bounds_of_long(points: list[np.ndarray], p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
