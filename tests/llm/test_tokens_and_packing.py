@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -36,6 +37,26 @@ def test_a_full_memo_is_forgotten(name):
         assert [x.tolist() for x in np.split(ids, ends)[:-1]] == whole(name, texts)
 
 
+@pytest.mark.parametrize("name, texts", [("byte_bpe_50k.json", ["x some words, some text. words\nand, text,\nwords.\nand", "x words some, text. words, text.\nand, some,\nwords"]), ("word_bpe_49k.json", ["x some words, Some text.\nand", "Words some, AND. text, x, and Text. Some"])])
+def test_words_before_commas_and_stops_are_encoded_once(name, texts):
+    encoder = ChunkEncoder(tokenizer_path(name))
+    encoder.encode(texts[:1])
+    known = len(encoder.memo)
+    ids, ends = encoder.encode(texts)
+    assert len(encoder.memo) == known
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == whole(name, texts)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cuts_at_marks_equal_whole_texts(name):
+    parts = ["word", "Word", "É", "ß", "İ", "J\u030c", "\u030c", "ΟΔΟΣ", "\u212a", "ǅ", "ª", "²", "12", "'s", "'S", "don't", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    parts += [" ", " ", "  ", "\n", "\t", "\x1f", "\xa0", "\xad", ", ", ". ", ",\n", ".\n", ",", "...", "!", "&&&"]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(5000)]
+    ids, ends = ChunkEncoder(tokenizer_path(name)).encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == whole(name, texts)
+
+
 def check_packing(rows, ids_of, length=1024):
     """ids_of: for each key the documents with it; every id in one piece, windows gapless, little padding."""
     pieces, windows = defaultdict(list), defaultdict(list)
