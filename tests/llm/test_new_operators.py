@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,21 @@ def test_columns_with_dots_and_keys_of_text(spark):
         own = sorted(f"k{i}" for i in range(60) if i % 3 == j)
         assert all((got[k].keep_id, got[k].group_size, got[k].kept) == (own[-1], 20, k == own[-1]) for k in own)
     assert exact_dedup.dedup_in_batches(docs.limit(0)).collect() == []
+
+
+def test_toxicity_meets_chunks_and_grams_once(monkeypatch):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcéß日本😀𝒳ñ") for _ in range(rnd.randrange(1, 12))) for _ in range(2000)]
+    grams, places, of = toxicity.grams_in(words)
+    assert len(set(grams)) == len(grams)
+    assert Counter((w, grams[g]) for g, w in zip(places.tolist(), of.tolist())) == Counter((w, g) for w, x in enumerate(words) for g in toxicity.grams_of(x))
+    parts = ["word", "İz", "ΟΔΟΣ", "Σ", ". ", ", ", ",", ".", " ", "\n", "\t", "\xa0", "　", "\x1c", "12", "a1b", "x" * 70, "'", "_", "²", "ǅ"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(3000)] + [None]
+    found, places, ends = toxicity.chunks(pa.array(texts))
+    cut = [[w for c in one for w in toxicity.words_in(found[c])] for one in np.split(places, ends)[:-1]]
+    assert cut == [toxicity._WORD.findall((t or "").lower()) for t in texts]
+    model, seen = toxicity.Model(), []
+    monkeypatch.setattr(model, "words", lambda words: seen.extend(words) or np.zeros(len(words)))
+    model.evidence(pa.array(["Some words, some text.", None, "", "text. Words"]))
+    model.evidence(pa.array(["words some"]))
+    assert sorted(seen) == ["some", "text", "words"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks remembered by one Python worker.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: Chunks encoded in one call.
 JOINED = 256
 #: Bytes of text encoded in one run.

@@ -33,18 +33,20 @@ from __future__ import annotations
 
 import re
 import uuid
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .langid import fold
-from .shared import BROADCAST_ROWS, drop, map_columns, require, save, small_enough
+from .shared import BROADCAST_ROWS, drop, map_batches, require, save, small_enough
+from .tokens import runs_of_texts
 
 #: Letters of the longest gram; letters of the longest word.
 ORDER, LONGEST = 5, 64
@@ -60,8 +62,12 @@ PARTS = 4
 THRESHOLD = 0.7
 START, END = "^", "$"
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
-#: Characters of a text that are met at once; words whose ratio a worker remembers.
-SLICE, REMEMBERED = 1 << 20, 600_000
+#: Characters of a text that are met at once; chunks whose words' ratios a worker remembers.
+SLICE, REMEMBERED = 1 << 20, 400_000
+#: Bytes of texts that are counted, and scored, at once.
+COUNTED, SCORED = 16_000_000, 4_000_000
+#: Words whose grams are met at once.
+WORDS = 50_000
 #: Largest log ratio of a word that counts; largest part of it that language and style explain.
 MOST_EVIDENCE, MOST_SHIFT = 20.0, 1.0
 
@@ -85,24 +91,96 @@ def grams_of(word: str) -> list[str]:
     return [marked[:i] for i in range(2, min(ORDER, n + 1))] + [marked[i : i + ORDER] for i in range(n - ORDER + 1)]
 
 
+def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, place in them of each chunk of all texts in order, end of each text in these).
+
+    Chunks are what lies between white space, so no word crosses one and the case of a
+    letter does not depend on another chunk. Most of them recur, so a chunk's words are found once.
+    """
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    for mark in (", ", ". "):
+        texts = pc.replace_substring(texts, mark, " ")
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
+
+
+def words_in(chunk: str) -> list[str]:
+    word = chunk.lower()
+    if len(word) <= LONGEST and word.isalpha():
+        return [word]
+    return list(chain.from_iterable(slices(chunk)))
+
+
+def grams_in(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct grams, place in them of each gram of the words, the word it is of)."""
+    marked = "".join([f"{START}{w}{END}" for w in words])
+    letters = np.concatenate([np.frombuffer(marked.encode("utf-32-le"), "<u4"), np.zeros(ORDER, "<u4")]).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(size) - size
+    full = np.maximum(size - ORDER + 1, 0)
+    starts, lengths, word = [np.repeat(begin - np.cumsum(full) + full, full) + np.arange(full.sum())], [np.full(full.sum(), ORDER)], [np.repeat(np.arange(len(words)), full)]
+    for n in range(2, ORDER):
+        some = np.flatnonzero(size >= n)
+        starts.append(begin[some])
+        lengths.append(np.full(len(some), n))
+        word.append(some)
+    at, length = np.concatenate(starts), np.concatenate(lengths)
+    letter = lambda k: np.where(length > k, letters[at + k], np.uint64(0))
+    # three letters fit into 64 bits, and so do the places of two halves among the distinct ones
+    places, parts = None, []
+    for first in range(0, ORDER, 3):
+        coded = pa.array(sum(letter(k) << np.uint64(21 * (k - first)) for k in range(first, min(first + 3, ORDER)))).dictionary_encode()
+        parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.uint64)))
+    both = pa.array(parts[0][1] << np.uint64(32) | parts[1][1]).dictionary_encode()
+    met, places = both.dictionary.to_numpy(), both.indices.to_numpy()
+    halves = [parts[0][0][(met >> np.uint64(32)).astype(np.int64)], parts[1][0][(met & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
+    table = np.stack([halves[k // 3] >> np.uint64(21 * (k % 3)) & np.uint64(0x1FFFFF) for k in range(ORDER)], axis=1).astype("<u4")
+    return np.ascontiguousarray(table).view(f"<U{ORDER}").ravel().tolist(), places, np.concatenate(word)
+
+
 def count_grams(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by..., gram, n) over the texts of ``rows`` (text and the columns ``by``)."""
     schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for texts, *groups in batches:
-            words: dict[tuple, Counter] = {}
-            for text, *group in zip(texts, *groups):
-                for found in slices(text):
-                    words.setdefault(tuple(group), Counter()).update(found)
-            for group, met in words.items():
-                grams: Counter = Counter()
-                for word, n in met.items():
-                    for g in grams_of(word):
-                        grams[g] += n
-                yield [*[[x] * len(grams) for x in group], list(grams), list(grams.values())]
-
-    return map_columns(rows.select("text", *by), run, schema).groupBy(*by, "gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        for b in batches:
+            groups: dict[tuple, list[int]] = {}
+            for at, group in enumerate(zip(*(c.to_pylist() for c in b.columns[1:])) if by else [()] * len(b)):
+                groups.setdefault(group, []).append(at)
+            of = np.zeros(len(b), np.int64)
+            for k, rows_of in enumerate(groups.values()):
+                of[rows_of] = k
+            ids: dict[str, int] = {}
+            counts = [np.zeros(0, np.int64) for _ in groups]
+            for at, some in runs_of_texts(b.column(0), COUNTED):
+                found, places, ends = chunks(some)
+                group_of = np.repeat(of[at : at + len(some)], np.diff(ends, prepend=0))
+                own = [[ids.setdefault(w, len(ids)) for w in words_in(c)] for c in found]
+                flat = np.fromiter(chain.from_iterable(own), np.int64)
+                size = np.fromiter(map(len, own), np.int64, len(own))
+                for k in range(len(groups)):
+                    times = np.repeat(np.bincount(places[group_of == k], minlength=len(found)), size)
+                    new = np.zeros(len(ids), np.int64)
+                    new[: len(counts[k])] = counts[k]
+                    counts[k] = new + np.bincount(flat, times, len(ids)).astype(np.int64)
+            words = list(ids)
+            grams: dict[str, int] = {}
+            totals = [np.zeros(0, np.int64) for _ in groups]
+            for at in range(0, len(words), WORDS):
+                met, places, word = grams_in(words[at : at + WORDS])
+                to = np.array([grams.setdefault(g, len(grams)) for g in met], np.int64)[places]
+                for k in range(len(groups)):
+                    new = np.zeros(len(grams), np.int64)
+                    new[: len(totals[k])] = totals[k]
+                    totals[k] = new + np.bincount(to, counts[k][at + word], len(grams)).astype(np.int64)
+            names = pa.array(list(grams), pa.string())
+            for group, total in zip(groups, totals):
+                some = np.flatnonzero(total)
+                yield [*[[x] * len(some) for x in group], names.take(pa.array(some)), total[some]]
+
+    return map_batches(rows.select("text", *by), run, schema).groupBy(*by, "gram").agg(F.sum("n").alias("n"))
 
 
 def _context() -> Column:
@@ -155,30 +233,59 @@ class Model:
 
     grams: dict[str, float] = field(default_factory=dict)
     contexts: dict[str, float] = field(default_factory=dict)
-    memo: dict[str, float] = field(default_factory=dict)
+    #: ratios of the words of chunks
+    memo: dict[str, list[float]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.known = _Grams(self.grams)
         self.known.contexts = self.contexts
 
-    def word(self, word: str) -> float:
-        return sum(map(self.known.__getitem__, grams_of(word)))
-
-    def evidence(self, text: str | None) -> float:
-        """What the words of the text add, by the word."""
-        found = array("d")
-        for words in slices(text):
-            if len(self.memo) > REMEMBERED:
-                self.memo = {}
-            memo = self.memo
-            for w in set(words).difference(memo):
-                memo[w] = self.word(w)
-            found.extend(map(memo.__getitem__, words))
-        if not found:
-            return 0.0
-        x = np.frombuffer(found)
-        middle = np.clip(np.median(np.concatenate([x, np.zeros(SPARE)])), -MOST_SHIFT, MOST_SHIFT)
-        return float(np.log1p(MIXED * np.expm1(np.minimum(x - middle, MOST_EVIDENCE))).sum() / (len(x) + SPARE))
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log ratio of each word."""
+        if not words:
+            return np.zeros(0)
+        met, places, word = grams_in(words)
+        ratio = np.fromiter(map(self.known.__getitem__, met), np.float64, len(met))
+        return np.bincount(word, ratio[places], len(words))
+
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """What the words of each text add, by the word."""
+        found, places, ends = chunks(texts)
+        if len(self.memo) > REMEMBERED:
+            self.memo = {}
+        memo = self.memo
+        new = [c for c in found if c not in memo]
+        own = [words_in(c) for c in new]
+        ids: dict[str, int] = {}
+        for ws in own:
+            for w in ws:
+                ids.setdefault(w, len(ids))
+        of = self.words(list(ids)).tolist()
+        memo.update(zip(new, ([of[ids[w]] for w in ws] for ws in own)))
+        met = [memo[c] for c in found]
+        size = np.fromiter(map(len, met), np.int64, len(met))
+        ratios = np.fromiter(chain.from_iterable(met), np.float64, int(size.sum()))
+        start, size = (np.cumsum(size) - size)[places], size[places]
+        x = ratios[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        ends = np.concatenate([[0], np.cumsum(size)])[ends]
+        length = np.diff(ends, prepend=0)
+        middle = np.array([_middle(x[e - n : e]) for e, n in zip(ends.tolist(), length.tolist())])
+        x = np.log1p(MIXED * np.expm1(np.minimum(x - np.repeat(middle, length), MOST_EVIDENCE)))
+        some = length > 0
+        out = np.zeros(len(length))
+        if some.any():
+            out[some] = np.add.reduceat(x, (ends - length)[some]) / (length[some] + SPARE)
+        return out
+
+
+def _middle(x: np.ndarray) -> float:
+    """The middle of ``x`` and ``SPARE`` zeros, ``MOST_SHIFT`` at most."""
+    n = len(x) + SPARE
+    y = np.zeros(n)
+    y[SPARE:] = x
+    low, high = (n - 1) // 2, n // 2
+    y.partition((low, high))
+    return min(max((y[low] + y[high]) / 2, -MOST_SHIFT), MOST_SHIFT)
 
 
 def class_model(counted: DataFrame, shared: DataFrame) -> Model:
@@ -209,15 +316,16 @@ def evidence(rows: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     name = uuid.uuid4().hex
     schema = T.StructType([*[rows.schema[c] for c in carried], T.StructField("evidence", T.DoubleType())])
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         own = _models.get(name)
         if own is None:
             _models.clear()
             own = _models[name] = Model(*sent.value)
-        for texts, *columns in batches:
-            yield [*columns, [own.evidence(t) for t in texts]]
+        for b in batches:
+            for at, some in runs_of_texts(b.column(0), SCORED):
+                yield [*(c.slice(at, len(some)) for c in b.columns[1:]), own.evidence(some)]
 
-    return map_columns(rows.select("text", *carried), run, schema)
+    return map_batches(rows.select("text", *carried), run, schema)
 
 
 def best_cut(points: list[tuple[float, int, int]]) -> float:
