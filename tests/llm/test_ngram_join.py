@@ -218,3 +218,16 @@ def test_group_of_near_copies_that_do_not_link():
         assert (x == np.bincount((ids & np.uint64(len(x) - 1)).astype(np.int64), minlength=len(x))).all()
     heavy = np.arange(500, dtype=np.uint64) << np.uint64(20)
     assert ngram_join.points_of([ngram_join.point(heavy)])[0].tolist() == [500] + [0] * 511
+
+
+def test_sizes_tell_which_files_need_trees():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 1 << 63, n, np.uint64)) for n in (1, 7, 130, 500, 700, 5000)]
+    sets += [np.arange(n, dtype=np.uint64) << np.uint64(14) for n in (3, 300, 70_000)]
+    assert [ngram_join.size_of(ngram_join.point(x)) for x in sets] == [len(x) for x in sets]
+    for _ in range(2000):
+        sizes = rnd.integers(1, 60, rnd.integers(1, 6)).tolist()
+        for percent in (1, 80, 90, 100):
+            pairs = [(a, b) for i, a in enumerate(sizes) for b in sizes[i + 1 :]]
+            # the overlap of two sets is the smaller one at most
+            assert ngram_join.may_link(sizes, percent) == any((100 + percent) * min(p) >= percent * sum(p) for p in pairs)

@@ -140,6 +140,23 @@ def point(ids: np.ndarray) -> bytes:
     return head(width) + counts.astype(f"<u{width}").tobytes()
 
 
+def size_of(raw: bytes) -> int:
+    """The sum of a point's counts, as it is written."""
+    width, dims = raw[0], 1 << raw[1]
+    if width:
+        return int(np.frombuffer(raw, f"<u{width}", dims, 2).sum())
+    end = 2 + dims // 4
+    low = int.from_bytes(b"\x55" * (dims // 4))
+    twos = int.from_bytes(raw[2:end])
+    return (twos & low).bit_count() + 2 * (twos >> 1 & low).bit_count() + (len(raw) - end) // 2
+
+
+def may_link(sizes: list[int], percent: int) -> bool:
+    """Whether sets of any two of these sizes can link; if any can, so can two that are next to each other by size."""
+    sizes = sorted(sizes)
+    return any(100 * a >= percent * b for a, b in zip(sizes, sizes[1:]))
+
+
 def points_of(raws: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = [None] * len(raws)  # type: ignore[list-item]
     alike: dict[bytes, list[int]] = {}
@@ -348,16 +365,19 @@ def _distinct_files(rows: DataFrame) -> DataFrame:
     return rows.join(same.groupBy("n", "x", "y").agg(F.min("file").alias("file")).select("file"), "file", "left_semi")
 
 
-def _in_trees(rows: DataFrame, group: list[str], ask) -> DataFrame:
+def _in_trees(rows: DataFrame, group: list[str], percent: int, ask) -> DataFrame:
     """Pairs (a < b) that ``ask`` gives for the rows of each ``group``.
 
     ``rows``: the group's columns, side, node, component, point; ``ask`` gets the sides, nodes,
-    components and points of a group and returns pairs of places.
+    components and points of a group and returns pairs of places. Trees are not built for
+    groups without two sets whose sizes allow a link.
     """
     dealt = rows.select(*group, "side", "node", "component", "point").repartition(*group).sortWithinPartitions(*group, "side")
     width = len(group)
 
     def pairs_of(members: list[tuple]) -> tuple[list, list]:
+        if not may_link([size_of(r[-1]) for r in members], percent):
+            return [], []
         side, node, component = (np.array([r[width + k] for r in members], np.int64) for k in range(3))
         if (component == component[0]).all():
             return [], []
@@ -398,7 +418,7 @@ def _one_partner(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def ask(side, node, component, at):  # noqa: ANN001, ANN202
         return asked(at, component, percent, head=0)
 
-    return _in_trees(every, ["file", "block"], ask)
+    return _in_trees(every, ["file", "block"], percent, ask)
 
 
 def _all_partners(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -423,7 +443,7 @@ def _all_partners(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame
         cut = int((side == 0).sum())
         return asked(at, component, percent, cut=cut if cut < len(side) else None)
 
-    return _in_trees(rows.join(points, "node"), ["file", "i", "j"], ask)
+    return _in_trees(rows.join(points, "node"), ["file", "i", "j"], percent, ask)
 
 
 def _texts(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
