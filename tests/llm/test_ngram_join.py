@@ -231,3 +231,39 @@ def test_sizes_tell_which_files_need_trees():
             pairs = [(a, b) for i, a in enumerate(sizes) for b in sizes[i + 1 :]]
             # the overlap of two sets is the smaller one at most
             assert ngram_join.may_link(sizes, percent) == any((100 + percent) * min(p) >= percent * sum(p) for p in pairs)
+
+
+def test_rows_that_cannot_link_by_a_file_leave_it(spark):
+    """Two equal-sized sets whose first common shingle is late in both meet in a file but in no tree; linked ones stay."""
+    file, alone = np.array([5, 5, 6, 6, 7, 7, 7]), np.arange(7)
+    size, place = np.full(7, 100), np.array([8, 8, 0, 8, 0, 3, 9])
+    # 100 shingles with 90 %: 95 must be shared, so the first of them is among the first six of both
+    assert ngram_join.meets(file, alone, size, place, 90).tolist() == [False] * 4 + [True, True, False]
+    assert not ngram_join.meets(file, file, size, place, 90).any()
+    schema = "file long, node long, component long, size long, place long, n long"
+    rows = [(int(f), i, i, 100, int(p), 2 if f < 7 else 3) for i, (f, p) in enumerate(zip(file, place))]
+    rows += [(8, 100 + i, i, 100, 9, 1000) for i in range(1000)]
+    got = ngram_join._meeting(spark.createDataFrame(rows, schema), 90).collect()
+    assert sorted(r.node for r in got) == [4, 5, *range(100, 1100)]
+    rng = np.random.default_rng(11)
+    levels = rng.integers(0, 3, 1 << ngram_join.SLOT_BITS).astype(np.uint8)
+    links = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, 1 + len(a) // 9)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 9))).astype(np.uint64)]))
+        pa_, pb = (ngram_join.prefix(x, levels, 90) for x in (a, b))
+        both = np.intersect1d(pa_, pb)
+        at = [(int(np.flatnonzero(pa_ == f)[0]), int(np.flatnonzero(pb == f)[0])) for f in both]
+        met = any(ngram_join.meets(np.zeros(2, int), np.arange(2), np.array([len(a), len(b)]), np.array(p), 90).all() for p in at)
+        links += ngram_join.linked(a, b, 90)
+        assert met or not ngram_join.linked(a, b, 90)
+    assert links > 50
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["ab", "AB c", None, "", "x" * 64, "x" * 65, "x" * 66, "a\x00", "a", "abcdefgh", "abcdefghi abcdefgh\x00", "\x0bq\x1fr "]
+    hashes, ends = ngram_join.word_hashes(pa.array(texts))
+    words = [WORD.findall((t or "").lower()) for t in texts]
+    assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+    flat = [w for x in words for w in x]
+    assert len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(flat, hashes.tolist())))

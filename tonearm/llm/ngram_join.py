@@ -16,7 +16,8 @@ that many documents share last, so they file (almost) nothing.
 Equal sets are one class from the start. The trees are asked three times: in the files of
 the first shingles for one partner of each point, in all files for one partner, and in
 all files for all partners. Pairs within a component that is known by then are left
-out, and so are files within one, so components are exact, groups of near copies settle
+out, and so are files within one; what in a file can link with nothing by the sizes and
+by the file's place in the order of either set comes into no tree. So components are exact, groups of near copies settle
 in links proportional to their size, and copies are never expanded into pairs.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased;
@@ -56,7 +57,13 @@ SLICES = 2
 FILE_SLICES = 2
 #: Counters of the table that orders shingles, as bits.
 SLOT_BITS = 18
+#: Bytes of a word up to which it is hashed together with others.
+LONG_WORD = 64
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: Which bytes are white space, the bytes with A-Z lower-cased, and masks of the first bytes of eight.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Places of four counts in a byte, and the counts in each byte.
 _SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 _QUADS = ((np.arange(256)[:, None] >> _SHIFTS) & 3).astype(np.uint8)
@@ -70,18 +77,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts in order, end of each text in them).
+
+    A word's bytes go into its hash eight at a time, those of all words at once; the few
+    words of more than ``LONG_WORD`` bytes are hashed one by one.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    cuts = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    inside = ~_BLANK[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # texts follow each other without a blank
+    some = cuts[:-1][np.diff(cuts) > 0]
+    first[some], last[some - 1] = inside[some], inside[some - 1]
+    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = ends - begins
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _LOWER[raw]
+    eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
+    h = _mix(size.astype(np.uint64) * _MIX1 + (eight[begins] & _FIRST_BYTES[np.minimum(size, 8)]))
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(more):
+        h[more] = _mix(h[more] + (eight[begins[more] + at] & _FIRST_BYTES[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[begins[i] : ends[i]].tobytes())
+    return h, np.searchsorted(begins, cuts[1:])
+
+
 def raw_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all shingles of all texts in order, end of each text in them)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    at = coded.indices.to_numpy().astype(np.int64)
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    # white space at either end of a text gives empty words
-    real = np.array([len(w) > 0 for w in words], bool)[at] if len(at) else np.zeros(0, bool)
-    ends = np.concatenate([[0], np.cumsum(real)])[ends]
-    h = hashes[at[real]] if len(at) else np.zeros(0, np.uint64)
+    h, ends = word_hashes(texts)
     starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
     size = ends - starts
     full = np.full(max(0, len(h) - n + 1), n, np.uint64)
@@ -130,13 +163,20 @@ def point(ids: np.ndarray) -> bytes:
     dims = DIMS
     while dims < FINEST and dims * (1 if dims < FINE else PER_DIM) < len(ids):
         dims *= 2
-    counts = np.bincount((ids & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
-    above = np.maximum(counts - 3, 0)
+    counts = np.bincount((ids & np.uint64(dims - 1)).view(np.int64), minlength=dims)
+    most = int(counts.max())
     head = lambda width: bytes([width, dims.bit_length() - 1])
-    if counts.max() < 1 << 8 and above.sum() * 2 < dims // 2:
-        low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
-        return head(0) + (low << _SHIFTS).sum(axis=1, dtype=np.uint8).tobytes() + np.repeat(np.arange(dims), above).astype("<u2").tobytes()
-    width = next(w for w in (1, 2, 4) if counts.max() < 1 << 8 * w)
+    if most < 1 << 8:
+        low = counts.astype(np.uint8)
+        above = np.flatnonzero(low > 3)
+        if len(above):
+            above = np.repeat(above, low[above] - 3)
+            low = np.minimum(low, 3)
+        if len(above) * 2 < dims // 2:
+            # four counts of a byte stand in one 32-bit number
+            four = low.view("<u4")
+            return head(0) + (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8).tobytes() + above.astype("<u2").tobytes()
+    width = next(w for w in (1, 2, 4) if most < 1 << 8 * w)
     return head(width) + counts.astype(f"<u{width}").tobytes()
 
 
@@ -307,7 +347,7 @@ def asked(fine: list[np.ndarray], components: np.ndarray, percent: int, head: in
 
 
 def ngram_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members: key, n_shingles, set_id; classes: node, set_id, rep, point, prefix), both saved."""
+    """(members: key, n_shingles, set_id; classes: node, set_id, rep, size, point, prefix), both saved."""
     require(docs, key, text)
     levels = shingle_levels(docs, text, n)
     kind = docs.schema[key].dataType
@@ -325,37 +365,105 @@ def ngram_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
 
     told = save(map_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")), describe, schema), "ngrams")
     # copies collapse in map-side partial aggregation; any copy's point and prefix are those of the class
-    one = told.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.first(F.struct("point", "prefix")).alias("s"))
-    classes = save(one.select(F.monotonically_increasing_id().alias("node"), "set_id", "rep", F.col("s.point").alias("point"), F.col("s.prefix").alias("prefix")), "ngrams")
+    one = told.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.first(F.struct("n_shingles", "point", "prefix")).alias("s"))
+    classes = save(one.select(F.monotonically_increasing_id().alias("node"), "set_id", "rep", F.col("s.n_shingles").alias("size"), F.col("s.point").alias("point"), F.col("s.prefix").alias("prefix")), "ngrams")
     members = save(told.select("key", "n_shingles", "set_id"), "members")
     drop(told)
     return members, classes
 
 
 def _filed(classes: DataFrame, first: int | None = None, part: int | None = None) -> DataFrame:
-    """(file, node, component) for all filing shingles of each class, or the ``first`` ones; with ``part`` only its files."""
+    """(file, node, component, size, place) for all filing shingles of each class, or the ``first`` ones; with ``part`` only its files.
+
+    ``place`` counts the shingles of the class before the file's in the common order.
+    """
+    columns = ("file", "place", "node", "component", "size")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         for b in batches:
-            raws = [np.frombuffer(r, "<i8")[:first] for r in b.column(2).to_pylist()]
+            raws = [np.frombuffer(r, "<i8")[:first] for r in b.column(3).to_pylist()]
+            places = [np.arange(len(x)) for x in raws]
             if part is not None:
-                raws = [x[x & (FILE_SLICES - 1) == part] for x in raws]
+                places = [np.flatnonzero(x & (FILE_SLICES - 1) == part) for x in raws]
+                raws = [x[at] for x, at in zip(raws, places)]
             sizes = [len(r) for r in raws]
             for at in range(0, len(raws), 2000):
                 some = slice(at, at + 2000)
-                yield [np.concatenate(raws[some]), *[np.repeat(b.column(c).to_numpy()[some], sizes[some]) for c in (0, 1)]]
+                yield [np.concatenate(raws[some]), np.concatenate(places[some]), *[np.repeat(b.column(c).to_numpy()[some], sizes[some]) for c in range(3)]]
 
-    rows = classes.select("node", "component", "prefix")
-    return map_batches(rows, spread, T.StructType([T.StructField(c, T.LongType()) for c in ("file", "node", "component")]))
+    rows = classes.select("node", "component", "size", "prefix")
+    return map_batches(rows, spread, T.StructType([T.StructField(c, T.LongType()) for c in columns]))
 
 
 def _open_files(rows: DataFrame) -> DataFrame:
-    """The rows of ``rows`` (file, node, component) in files that hold several components.
+    """The rows of ``rows`` (file, node, component, ...) in files that hold several components, with the file's rows ``n``.
 
-    Only minima and maxima are shuffled to find them, after partial aggregation.
+    Only minima, maxima and counts are shuffled to find them, after partial aggregation.
     """
-    several = rows.groupBy("file").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("file")
-    return rows.join(several, "file", "left_semi")
+    several = rows.groupBy("file").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c <> d").select("file", "n")
+    return rows.join(several, "file")
+
+
+def meets(file: np.ndarray, component: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, in order of their files, can link with a row of their file in another component.
+
+    Linked sets meet in the file of their first common shingle, and all that they share
+    stands from there on in either one. A set of ``size`` shingles with ``place`` of them
+    before the file's links by it only with sets of at most ``(100 + percent) / percent *
+    (size - place) - size`` shingles.
+    """
+    most = (100 + percent) * (size - place) // percent - size
+    begins = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1]])) if len(file) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begins, len(file)))
+    start, count = np.repeat(begins, counts), np.repeat(counts, counts)
+    ends = np.cumsum(count)
+    keep = np.zeros(len(file), bool)
+    at = 0
+    while at < len(file):
+        before = int(ends[at] - count[at])
+        to = max(at + 1, int(np.searchsorted(ends, before + (1 << 18), "right")))
+        one = np.repeat(np.arange(at, to), count[at:to])
+        other = start[one] + np.arange(before, int(ends[to - 1])) - (ends - count)[one]
+        ok = (size[other] <= most[one]) & (size[one] <= most[other]) & (component[one] != component[other])
+        keep[one[ok]] = True
+        at = to
+    return keep
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of open files that can link with another row of their file, by ``meets``; without ``n``.
+
+    Files of more than ``BLOCK`` rows stay whole; they are dealt over many tasks.
+    """
+    columns = ["file", "node", "component", "size", "place"]
+    large = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).otherwise(0)
+    dealt = rows.withColumn("deal", large).repartition("file", "deal").sortWithinPartitions("file").select(*columns, "n")
+
+    def chosen(t: pa.Table) -> list:
+        file, _, component, size, place, n = (c.to_numpy() for c in t.columns)
+        keep = n > BLOCK
+        small = np.flatnonzero(~keep)
+        keep[small] = meets(file[small], component[small], size[small], place[small], percent)
+        return [c.combine_chunks() for c in t.select(columns).filter(pa.array(keep)).columns]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            # the last file may go on in the next batch; of a large one nothing needs to wait
+            last = b.column(0)[-1].as_py()
+            file = b.column(0).to_numpy()
+            cut = len(b) if b.column(5)[-1].as_py() > BLOCK else int(np.searchsorted(file, last))
+            if cut or (kept and kept[-1].column(0)[-1].as_py() != last):
+                yield chosen(pa.Table.from_batches([*kept, b.slice(0, cut)]))
+                kept = []
+            if cut < len(b):
+                kept.append(b.slice(cut))
+        if kept:
+            yield chosen(pa.Table.from_batches(kept))
+
+    return map_batches(dealt, search, T.StructType([T.StructField(c, T.LongType()) for c in columns]))
 
 
 def _distinct_files(rows: DataFrame) -> DataFrame:
@@ -517,15 +625,19 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     tested: list[DataFrame] = []
     filed: list[DataFrame] = []
     for step in range(3):
-        # files are taken in parts, one written after another, so disk holds one part's rows and points at a time
+        # files are taken in parts, one written after another, so disk holds one part's rows and points at a time;
+        # the few first ones are one part
         dealt = []
-        for part in range(FILE_SLICES):
-            if step < 2:
-                named = classes.select("node", "prefix").join(labels, "node")
-                rows = _filed(named, FIRST_FILES if step == 0 else None, part)
+        for part in range(FILE_SLICES if step else 1):
+            named = classes.select("node", "size", "prefix").join(labels, "node")
+            if step == 0:
+                rows = _open_files(_filed(named, FIRST_FILES)).drop("n")
+            elif step == 1:
+                rows = _meeting(_open_files(_filed(named, part=part)), percent)
             else:
-                rows = filed[part].drop("component").join(labels, "node").select("file", "node", "component")
-            dealt.append(save(_open_files(rows), "filed"))
+                # what could not meet before cannot now
+                rows = _open_files(filed[part].drop("component").join(labels, "node")).drop("n")
+            dealt.append(save(rows, "filed"))
         drop(*filed)
         filed = dealt
         found = []
